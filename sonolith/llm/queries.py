@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm import classlm, decontaminate, fingerprints, langid, licenses, linededup, mixing, tokens
+from sonolith.llm import classlm, decontaminate, fingerprints, langid, licenses, linededup, mixing, neardup, tokens
 from sonolith.llm.common import table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at four words a shingle, as its contract says."""
+    return neardup.groups(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -52,5 +57,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op3_language_id, op4_license_scan, op5_decontamination, op6_mixing, op7_token_counts, op8_class_lm, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_language_id, op4_license_scan, op5_decontamination, op6_mixing, op7_token_counts, op8_class_lm, op10_fingerprints)}
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm import classlm, decontaminate, fingerprints, langid, licenses, linededup, mixing, neardup, tokens
+from sonolith.llm import classlm, decontaminate, fingerprints, langid, licenses, linededup, mixing, neardup, suffixes, tokens
 from sonolith.llm.common import table
 
 
@@ -53,9 +53,13 @@ def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_language_id, op4_license_scan, op5_decontamination, op6_mixing, op7_token_counts, op8_class_lm, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_language_id, op4_license_scan, op5_decontamination, op6_mixing, op7_token_counts, op8_class_lm, op9_suffix_dedup, op10_fingerprints)}
 ORACLES: dict[str, str] = {}

@@ -227,34 +227,42 @@ def label_piece(model: Model, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     return marginals(model, emissions(model, piece), new), letters[piece.end] > letters[piece.start]
 
 
+def has_letter(piece: Piece, i: int) -> bool:
+    own = piece.data[piece.offs[i] : piece.offs[i + 1]]
+    low = own | 32
+    return bool(((low >= 97) & (low < 123)).any()) or any(c.isalpha() for c in own.tobytes().decode())
+
+
+def decide(model: Model, piece: Piece, runs: bool) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+    """Per document of a piece: language, score and, if asked for, its runs."""
+    langs, scores, spans = [UNDETERMINED] * piece.n, np.zeros(piece.n), [[] for _ in range(piece.n)]
+    if not model.labels or not len(piece.data):
+        return langs, scores, spans
+    share, letter = label_piece(model, piece)
+    sums = np.concatenate([np.zeros((1, share.shape[1])), np.cumsum(share * letter[:, None], axis=0)])
+    total = sums[piece.first_word[1:]] - sums[piece.first_word[:-1]]
+    best = total.argmax(axis=1)
+    whole = total.sum(axis=1)
+    for i in np.flatnonzero(whole > 0):
+        if has_letter(piece, i):
+            langs[i], scores[i] = model.labels[best[i]], min(1.0, max(0.0, total[i, best[i]] / whole[i]))
+    if runs:
+        top = share.argmax(axis=1)
+        for i in range(piece.n):
+            own = top[piece.first_word[i] : piece.first_word[i + 1]]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]]) if len(own) else []
+            spans[i] = [{"first": int(a), "words": int(b - a), "lang": model.labels[own[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
+    return langs, scores, spans
+
+
 def predict(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lang_pred, score; with `runs` also the runs of words of one language: first word, words, lang."""
     schema = "doc_id long, lang_pred string, score double" + (", runs array<struct<first: int, words: int, lang: string>>" if runs else "")
 
-    def has_letter(piece: Piece, i: int) -> bool:
-        own = piece.data[piece.offs[i] : piece.offs[i + 1]]
-        low = own | 32
-        return bool(((low >= 97) & (low < 123)).any()) or any(c.isalpha() for c in own.tobytes().decode())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column(1)):
-                langs, scores, spans = [UNDETERMINED] * piece.n, np.zeros(piece.n), [[] for _ in range(piece.n)]
-                if model.labels and len(piece.data):
-                    share, letter = label_piece(model, piece)
-                    sums = np.concatenate([np.zeros((1, share.shape[1])), np.cumsum(share * letter[:, None], axis=0)])
-                    total = sums[piece.first_word[1:]] - sums[piece.first_word[:-1]]
-                    best = total.argmax(axis=1)
-                    whole = total.sum(axis=1)
-                    for i in np.flatnonzero(whole > 0):
-                        if has_letter(piece, i):
-                            langs[i], scores[i] = model.labels[best[i]], min(1.0, max(0.0, total[i, best[i]] / whole[i]))
-                    if runs:
-                        top = share.argmax(axis=1)
-                        for i in range(piece.n):
-                            own = top[piece.first_word[i] : piece.first_word[i + 1]]
-                            cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]]) if len(own) else []
-                            spans[i] = [{"first": int(a), "words": int(b - a), "lang": model.labels[own[a]]} for a, b in zip(cuts, cuts[1:], strict=False)]
+                langs, scores, spans = decide(model, piece, runs)
                 columns = [batch.column(0).slice(piece.first, piece.n), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 if runs:
                     columns.append(pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))))
@@ -263,6 +271,21 @@ def predict(docs: DataFrame, model: Model, runs: bool = False) -> DataFrame:
     return with_defaults(docs, doc_id="long", text="string").mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, model: Model, majority: float) -> DataFrame:
+    """The rows, whole, whose text has a language with at least `majority` of the words' probability."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = np.zeros(batch.num_rows, bool)
+            for piece in pieces(batch.column(at)):
+                langs, scores, _ = decide(model, piece, False)
+                mask[piece.first : piece.first + piece.n] = (np.array(langs) != UNDETERMINED) & (scores >= majority)
+            yield batch.filter(pa.array(mask))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id", fold: int = 1, folds: int = 3):  # noqa: ANN201
     """True for documents that no model is learned from: crc32 of the id's digits modulo `folds` is `fold`. A null id is learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))

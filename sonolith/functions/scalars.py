@@ -115,7 +115,7 @@ def version_from_name(name: Column) -> Column:
 
 def comma_list(text: Column) -> Column:
     """Items of a comma-separated list, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def safe_name(text: Column) -> Column:

@@ -73,7 +73,7 @@ def facet_values(*values: DataFrame) -> DataFrame:
 
 def vocabulary(tags: DataFrame, list_fields: list[str], by_trigger: bool = False) -> DataFrame:
     """tags(trigger, field, value) -> field, value, n: list fields are split at commas first."""
-    items = F.when(F.col("field").isin(list_fields), F.filter(F.transform(F.split("value", ","), F.trim), lambda x: x != "")).otherwise(F.array("value"))
+    items = F.when(F.col("field").isin(list_fields), F.filter(F.transform(F.split("value", ","), lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array("value"))
     keys = ["trigger", "field", "value"] if by_trigger else ["field", "value"]
     return tags.withColumn("value", F.explode(items)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 

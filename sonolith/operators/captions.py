@@ -50,6 +50,13 @@ _TYPES = {
 INPUT = ("content_type", "path", "duration_seconds", "bpm", "tempo_window_count", "tempo_unstable", "groove", "key", "genre", "genre_raw", "instrument", "instrument_raw", "stem_instrument", "mood", "voice_probability", "onset_rate", "loudness_range", "flatness", "sub_ratio", "flux_mean", "beat_jitter", "human")
 
 
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds or replaces a column that is computed once for each row however often its fields are used: a projection would be merged into those above it, and its
+    expressions repeated for each use; a generator isn't."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(value)).alias(name))
+
+
 def with_input(df: DataFrame) -> DataFrame:
     """Adds the expected columns that a table lacks, as nulls."""
     return df.select("*", *[F.lit(None).cast(_TYPES.get(c, "double")).alias(c) for c in INPUT if c not in df.columns])
@@ -117,7 +124,7 @@ def measured(files: DataFrame) -> DataFrame:
         (F.col("voice_probability") < VOICE).alias("is_instrumental"),
         *[F.when(~one_shot, _shape(n, s)).alias(n) for n, s in sources.items()],
     ]
-    return files.withColumn("record", F.struct(*fields))
+    return pinned(files, "record", F.struct(*fields))
 
 
 def overridden(record: Column, human: Column) -> Column:
@@ -160,8 +167,8 @@ def file_records(files: DataFrame, defaults: DataFrame | None = None) -> DataFra
     out = measured(with_input(files))
     if defaults is not None:
         out = out.join(folder_layers(files, defaults), "id", "left").withColumn("_folder", merged_layers(F.coalesce("layers", F.array().cast(f"array<{HUMAN}>")))).drop("layers")
-        out = out.withColumn("record", overridden(F.col("record"), F.col("_folder"))).drop("_folder")
-    return out.withColumn("record", overridden(F.col("record"), F.col("human")))
+        out = pinned(out, "record", overridden(F.col("record"), F.col("_folder"))).drop("_folder")
+    return pinned(out, "record", overridden(F.col("record"), F.col("human")))
 
 
 def segment_records(records: DataFrame, segments: DataFrame) -> DataFrame:
@@ -184,8 +191,8 @@ def segment_records(records: DataFrame, segments: DataFrame) -> DataFrame:
         base = F.col(f"record.{n}")
         value = F.col("end") - F.col("start") if n == "seconds" else F.when(music, own[n]).otherwise(base) if n in own else F.when(music, F.coalesce(maybe[n], base)).otherwise(base) if n in maybe else base
         fields.append(value.alias(n))
-    layered = both.withColumn("record", F.struct(*fields))
-    return layered.withColumn("record", overridden(F.col("record"), F.col("s_human")))
+    layered = pinned(both, "record", F.struct(*fields))
+    return pinned(layered, "record", overridden(F.col("record"), F.col("s_human")))
 
 
 def prose(record: Column, content_type: Column, trigger: str = "") -> Column:
@@ -216,7 +223,7 @@ def prose(record: Column, content_type: Column, trigger: str = "") -> Column:
     return F.when(~long(full), full).when(~long(plain) | (F.size(r["instruments"]) <= 1), plain).otherwise(short)
 
 
-def tags(record: Column, content_type: Column, trigger: str = "") -> Column:
+def tags(record: Column, content_type: Column, trigger: str = "", text: Column | None = None) -> Column:
     """array<struct<k, v>> in fixed order; absent values are left out."""
     r = record
     joined = lambda n: F.when(F.size(r[n]) > 0, F.array_join(r[n], ", "))
@@ -230,7 +237,7 @@ def tags(record: Column, content_type: Column, trigger: str = "") -> Column:
         ("bpm", round_half_away(r["bpm"]).cast("string")),
         ("keyscale", r["key"]),
         ("length_seconds", round_half_away(r["seconds"]).cast("string")),
-        ("prompt", prose(r, content_type, trigger)),
+        ("prompt", prose(r, content_type, trigger) if text is None else text),
     ]
     return F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in pairs]), lambda x: x["v"].isNotNull())
 
@@ -243,8 +250,8 @@ def sidecar(tag_list: Column) -> Column:
 def captions(files: DataFrame, defaults: DataFrame | None = None, trigger: str = "") -> DataFrame:
     """id, prose and sidecar of every file."""
     done = file_records(files, defaults)
-    listed = tags(F.col("record"), F.col("content_type"), trigger)
-    return done.select("id", prose(F.col("record"), F.col("content_type"), trigger).alias("prose"), sidecar(listed).alias("sidecar"))
+    told = pinned(done, "prose", prose(F.col("record"), F.col("content_type"), trigger))
+    return told.select("id", "prose", sidecar(tags(F.col("record"), F.col("content_type"), trigger, F.col("prose"))).alias("sidecar"))
 
 
 def retag(old: Column, fresh: Column, kept: list[str]) -> Column:

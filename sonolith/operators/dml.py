@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -53,7 +54,7 @@ def merge_patch(target: dict | None, patch: object) -> object:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_merge_patch(target: pd.Series, patch: pd.Series) -> pd.Series:
     """RFC 7396 on JSON texts; a null patch changes nothing."""
     return pd.Series([t if p is None else json.dumps(merge_patch(json.loads(t) if t else {}, json.loads(p)), separators=(",", ":"), ensure_ascii=False) for t, p in zip(target, patch, strict=True)])

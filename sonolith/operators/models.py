@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rate, window and hop in samples (or frames for patches) of each cutter.
 CUTTERS = {"effnet_patch": (128, 62), "dclap": (480_000, 240_000), "stem_instrument": (16_000, 16_000), "content_gate": (1000, 1000)}
@@ -144,7 +145,10 @@ def find_notes(frames: np.ndarray, onsets: np.ndarray, onset_level: float = ONSE
     return sorted(notes)
 
 
-@F.pandas_udf("array<struct<first: int, last: int, pitch: int, amplitude: double>>")
+NOTE = T.StructType().add("first", T.IntegerType()).add("last", T.IntegerType()).add("pitch", T.IntegerType()).add("amplitude", T.DoubleType())
+
+
+@F.pandas_udf(T.ArrayType(NOTE))
 def note_events(frames: pd.Series, onsets: pd.Series) -> pd.Series:
     """Notes of each file's activations, array<array<double>> by frame and pitch."""
     table = lambda m: np.stack([np.asarray(r, float) for r in m]) if m is not None and len(m) else np.zeros((0, 1))

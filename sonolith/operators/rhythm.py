@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonolith.operators.aggregates import median_mid, median_upper
 
@@ -87,95 +88,108 @@ def tempo_stability(beats: Column) -> Column:
     )
 
 
-def fitted_period(beats: Column) -> Column:
+def fit_period(beats: np.ndarray) -> float:
+    """Slope of beat times over beat numbers; see fitted_period()."""
+    steps = np.diff(beats)
+    if len(steps) < GRID_LEAST_BEATS:
+        return 0.0
+    middle = np.sort(steps)[len(steps) // 2]
+    if middle <= 0:
+        return 0.0
+    folded = steps[steps > 0]
+    for _ in range(4):
+        folded = np.where(folded < middle * 0.75, folded * 2, folded)
+    for _ in range(4):
+        folded = np.where(folded > middle * 1.5, folded * 0.5, folded)
+    if len(folded) < GRID_LEAST_BEATS:
+        return 0.0
+    raw = steps / np.sort(folded)[len(folded) // 2]
+    whole = np.sign(raw) * np.floor(np.abs(raw) + 0.5)
+    usable = np.concatenate([[True], (whole >= 1) & (np.abs(raw - whole) < 0.25)])
+    x, y = np.concatenate([[0.0], np.cumsum(whole)])[usable], beats[usable]
+    if len(x) < GRID_LEAST_BEATS:
+        return 0.0
+    denominator = len(x) * (x * x).sum() - x.sum() ** 2
+    return max(0.0, float((len(x) * (x * y).sum() - x.sum() * y.sum()) / denominator)) if abs(denominator) >= 1e-12 else 0.0
+
+
+def _floats(values: object) -> np.ndarray:
+    return np.asarray([] if values is None else values, np.float64)
+
+
+@F.pandas_udf(T.DoubleType())
+def fitted_period(beats: pd.Series) -> pd.Series:
     """Slope of beat times over beat numbers: intervals are folded by octaves to their median, each step is rounded to whole periods, steps off by
     a quarter or more are left out. 0 with fewer than twelve usable beats."""
-    steps = intervals(beats)
-    m = median_upper(steps)
+    return pd.Series([fit_period(_floats(b)) for b in beats], dtype="float64")
+
 
-    def folded(x: Column) -> Column:
-        for _ in range(4):
-            x = F.when(x < m * 0.75, x * 2).otherwise(x)
-        for _ in range(4):
-            x = F.when(x > m * 1.5, x * 0.5).otherwise(x)
-        return x
-
-    seed = median_upper(F.transform(F.filter(steps, lambda x: x > 0), folded))
-    start = F.struct(F.lit(0.0).alias("index"), F.array(F.struct(F.lit(0.0).alias("x"), F.element_at(beats, 1).cast("double").alias("y"))).alias("points"), F.element_at(beats, 1).cast("double").alias("last"))
-
-    def step(state: Column, beat: Column) -> Column:
-        raw = (beat - state["last"]) / seed
-        whole = F.floor(F.abs(raw) + 0.5) * F.signum(raw)
-        index = state["index"] + whole
-        points = F.when((whole >= 1) & (F.abs(raw - whole) < 0.25), F.concat(state["points"], F.array(F.struct(index.alias("x"), beat.cast("double").alias("y"))))).otherwise(state["points"])
-        return F.struct(index.alias("index"), points.alias("points"), beat.cast("double").alias("last"))
-
-    points = F.aggregate(F.slice(beats, 2, F.greatest(F.size(beats) - 1, F.lit(0))), start, step)["points"]
-    add = lambda f: F.aggregate(points, F.lit(0.0), lambda s, p: s + f(p))
-    n = F.size(points)
-    sx, sy, sxx, sxy = add(lambda p: p["x"]), add(lambda p: p["y"]), add(lambda p: p["x"] * p["x"]), add(lambda p: p["x"] * p["y"])
-    denominator = n * sxx - sx * sx
-    slope = F.when(F.abs(denominator) >= 1e-12, (n * sxy - sx * sy) / denominator)
-    fine = (F.size(steps) >= GRID_LEAST_BEATS) & (m > 0) & (seed > 0) & (n >= GRID_LEAST_BEATS)
-    return F.when(fine, F.greatest(slope, F.lit(0.0))).otherwise(0.0)
-
-
-def grid_phases(onsets: Column, beats: Column, at_beat_is_zero: bool) -> Column:
+def phases_between(onsets: np.ndarray, beats: np.ndarray, at_beat_is_zero: bool) -> np.ndarray:
     """Phase (0 to 1) of each onset between the beats around it; onsets outside the grid are left out. An onset on a beat has phase 0 of the
     interval that begins there, or phase 1 of the one that ends."""
-    spans = F.zip_with(F.slice(beats, 1, F.greatest(F.size(beats) - 1, F.lit(0))), intervals(beats), lambda b, w: F.struct(b.alias("b"), w.alias("w")))
-    if at_beat_is_zero:
-        inside = lambda t, s: (t >= s["b"]) & (t < s["b"] + s["w"])
-    else:
-        inside = lambda t, s: (t > s["b"]) & (t <= s["b"] + s["w"])
-    found = F.transform(onsets, lambda t: F.get(F.transform(F.filter(spans, lambda s: (s["w"] > 0) & inside(t, s)), lambda s: (t - s["b"]) / s["w"]), F.lit(0)))
-    return F.filter(found, lambda p: p.isNotNull())
+    after = np.searchsorted(beats, onsets, side="right" if at_beat_is_zero else "left")
+    inside = (after > 0) & (after < len(beats))
+    after, onsets = after[inside], onsets[inside]
+    width = beats[after] - beats[after - 1]
+    fine = width > 0
+    return (onsets[fine] - beats[after[fine] - 1]) / width[fine]
 
 
-def _strength(phases: Column) -> Column:
+def crowding(phases: np.ndarray) -> float:
     """Highest of the phase bins over a uniform one."""
-    bins = F.transform(phases, lambda p: F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(p * BINS).cast("int"))))
-    tops = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.size(F.filter(bins, lambda x: x == b)))
-    return F.array_max(tops) * float(BINS) / F.size(phases)
+    bins = np.clip((phases * BINS).astype(np.int64), 0, BINS - 1)
+    return float(np.bincount(bins, minlength=BINS).max() * BINS / len(phases)) if len(phases) else 0.0
 
 
-def grid_concentration(onsets: Column, beats: Column) -> Column:
+@F.pandas_udf(T.DoubleType())
+def grid_concentration(onsets: pd.Series, beats: pd.Series) -> pd.Series:
     """How much onsets crowd one phase of the beat: 1 is even, 16 is one bin; 0 with too few of either."""
-    phases = grid_phases(onsets, beats, at_beat_is_zero=False)
-    return F.when((F.size(onsets) >= 8) & (F.size(beats) >= 4) & (F.size(phases) >= 8), _strength(phases)).otherwise(0.0)
+    out = []
+    for o, b in zip(onsets, beats, strict=True):
+        o, b = _floats(o), _floats(b)
+        phases = phases_between(o, b, False) if len(o) >= 8 and len(b) >= 4 else np.zeros(0)
+        out.append(crowding(phases) if len(phases) >= 8 else 0.0)
+    return pd.Series(out, dtype="float64")
 
 
 def grid_supported(score: Column, fitted: Column) -> Column:
     return (score > 1.15) & (score >= 0.75 * fitted)
 
 
-def groove_on_beats(onsets: Column, beats: Column) -> Column:
-    """Groove against detected beats: struct of omitted (why, empty if it isn't), bpm, strength, resultant, onsets_per_beat, swing, pocket, syncopation."""
-    phases = grid_phases(F.array_sort(onsets), beats, at_beat_is_zero=True)
-    n = F.size(phases)
-    m = median_upper(intervals(beats))
-    strength = _strength(phases)
-    turn = lambda f: F.aggregate(phases, F.lit(0.0), lambda s, p: s + f(2 * math.pi * p))
-    off = F.filter(phases, lambda p: (p > 0.25) & (p < 0.75))
-    whole = lambda p: F.floor(p * 4 + 0.5)
-    omitted = (
-        F.when(F.size(onsets) < LEAST_ONSETS, "too few onsets")
-        .when(F.size(beats) < 4, "no beat grid")
-        .when(n < LEAST_ONSETS, "too few onsets inside the beat grid")
-        .when(strength < LEAST_STRENGTH, "no grid lock")
-        .otherwise("")
-    )
-    grid, locked = (n >= LEAST_ONSETS) & (F.size(beats) >= 4), omitted == ""
-    return F.struct(
-        omitted.alias("omitted"),
-        F.when(grid & (m > 0), 60 / m).alias("bpm"),
-        F.when(grid, strength).alias("strength"),
-        F.when(grid, F.hypot(turn(F.sin), turn(F.cos)) / n).alias("resultant"),
-        F.when(grid, n / (F.size(beats) - 1)).alias("onsets_per_beat"),
-        F.when(locked & (F.size(off) >= LEAST_ONSETS // 4), _mean(off)).alias("swing"),
-        F.when(locked, F.aggregate(phases, F.lit(0.0), lambda s, p: s + (p * 4 - whole(p)) / 4) / n).alias("pocket"),
-        F.when(locked, F.size(F.filter(phases, lambda p: whole(p) % 4 != 0)) / n).alias("syncopation"),
-    )
+GROOVE_FIELDS = ["omitted", "bpm", "strength", "resultant", "onsets_per_beat", "swing", "pocket", "syncopation"]
+GROOVE = T.StructType([T.StructField(n, T.StringType() if n == "omitted" else T.DoubleType()) for n in GROOVE_FIELDS])
+
+
+def groove_offsets(phases: np.ndarray) -> dict:
+    """Swing (mean phase of off-beats), pocket (mean distance to the nearest sixteenth) and syncopation (share of onsets off the beat)."""
+    off = phases[(phases > 0.25) & (phases < 0.75)]
+    whole = np.floor(phases * 4 + 0.5)
+    return {"swing": float(off.mean()) if len(off) >= LEAST_ONSETS // 4 else None, "pocket": float(((phases * 4 - whole) / 4).mean()), "syncopation": float((whole.astype(int) % 4 != 0).mean())}
+
+
+def groove_against(onsets: np.ndarray, beats: np.ndarray) -> dict:
+    """Groove against detected beats; see groove_on_beats()."""
+    out: dict = dict.fromkeys(GROOVE_FIELDS)
+    if len(onsets) < LEAST_ONSETS:
+        return out | {"omitted": "too few onsets"}
+    if len(beats) < 4:
+        return out | {"omitted": "no beat grid"}
+    phases = phases_between(np.sort(onsets), beats, True)
+    if len(phases) < LEAST_ONSETS:
+        return out | {"omitted": "too few onsets inside the beat grid"}
+    steps = np.sort(np.diff(beats))
+    middle = float(steps[len(steps) // 2])
+    turn = 2 * math.pi * phases
+    out |= {"bpm": 60 / middle if middle > 0 else 0.0, "strength": crowding(phases), "resultant": float(np.hypot(np.sin(turn).sum(), np.cos(turn).sum()) / len(phases)), "onsets_per_beat": len(phases) / (len(beats) - 1)}
+    if out["strength"] < LEAST_STRENGTH:
+        return out | {"omitted": "no grid lock"}
+    return out | {"omitted": ""} | groove_offsets(phases)
+
+
+@F.pandas_udf(GROOVE)
+def groove_on_beats(onsets: pd.Series, beats: pd.Series) -> pd.DataFrame:
+    """Groove against detected beats: omitted (why, empty if it isn't), bpm, strength, resultant, onsets_per_beat, swing, pocket, syncopation."""
+    return pd.DataFrame([groove_against(_floats(o), _floats(b)) for o, b in zip(onsets, beats, strict=True)], columns=GROOVE_FIELDS)
 
 
 def _resultant(onsets: np.ndarray, periods: np.ndarray) -> np.ndarray:
@@ -206,24 +220,26 @@ def fit_groove(onsets: np.ndarray, first_bpm: float | None, second_bpm: float |
     angle = 2 * math.pi / period * onsets
     turned = math.atan2(np.sin(angle).sum(), np.cos(angle).sum()) % (2 * math.pi)
     phases = np.mod(onsets - turned / (2 * math.pi) * period, period) / period
-    strength = float(np.bincount(np.clip((phases * BINS).astype(int), 0, BINS - 1), minlength=BINS).max() * BINS / len(onsets))
+    strength = crowding(phases)
     out |= {"bpm": 60 / period, "strength": strength, "resultant": float(_resultant(onsets, np.array([period]))[0]), "source": source}
     if strength < LEAST_STRENGTH:
         return out | {"omitted": "no grid lock"}
     if source == "uncorroborated":
         return out | {"omitted": "grid not corroborated by any tempo estimate"}
-    off = phases[(phases > 0.25) & (phases < 0.75)]
-    whole = np.floor(phases * 4 + 0.5)
-    return out | {"swing": float(off.mean()) if len(off) >= LEAST_ONSETS // 4 else None, "pocket": float(((phases * 4 - whole) / 4).mean()), "syncopation": float((whole.astype(int) % 4 != 0).mean())}
+    return out | groove_offsets(phases)
+
+
+FITTED_FIELDS = ["omitted", "bpm", "strength", "resultant", "source", "swing", "pocket", "syncopation"]
+FITTED = T.StructType([T.StructField(n, T.StringType() if n in {"omitted", "source"} else T.DoubleType()) for n in FITTED_FIELDS])
 
 
-@F.pandas_udf("omitted string, bpm double, strength double, resultant double, source string, swing double, pocket double, syncopation double")
+@F.pandas_udf(FITTED)
 def fitted_groove(onsets: pd.Series, first_bpm: pd.Series, second_bpm: pd.Series) -> pd.DataFrame:
     """Groove without beats: the period from 0.28 to 1.2 s on which the onsets agree best, moved to the octave that a tempo estimate confirms within 3 %,
     the first estimate before the second."""
     some = lambda x: None if x is None or pd.isna(x) else float(x)
     rows = [fit_groove(np.asarray([] if o is None else o, float), some(a), some(b)) for o, a, b in zip(onsets, first_bpm, second_bpm, strict=True)]
-    return pd.DataFrame(rows, columns=["omitted", "bpm", "strength", "resultant", "source", "swing", "pocket", "syncopation"])
+    return pd.DataFrame(rows, columns=FITTED_FIELDS)
 
 
 # onsets, meter, bars --------------------------------------------------------------------------------------------------
@@ -249,7 +265,7 @@ def pick_peaks(envelope: np.ndarray, hop: float) -> list[int]:
     return out
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def onset_times(envelope: pd.Series, hop: pd.Series) -> pd.Series:
     """Times of the peaks of an onset envelope, half a hop back."""
     return pd.Series([[max(0.0, i * h - h / 2) for i in pick_peaks(np.asarray([] if e is None else e, float), h)] for e, h in zip(envelope, hop, strict=True)])
@@ -327,7 +343,10 @@ def find_meter(features: list[np.ndarray], envelope: np.ndarray, beats: np.ndarr
     return out | {"meter": snapped, "raw": meter, "votes": votes, "arbitrated": arbitrated, "accent_f": top_f, "bar_count": len(bars) if len(bars) >= 2 else 0, "bar_spread": spread, "reason": reason}
 
 
-METER = "meter int, raw int, votes array<int>, arbitrated boolean, accent_f double, bar_count int, bar_spread double, reason string"
+METER = (
+    T.StructType().add("meter", T.IntegerType()).add("raw", T.IntegerType()).add("votes", T.ArrayType(T.IntegerType())).add("arbitrated", T.BooleanType())
+    .add("accent_f", T.DoubleType()).add("bar_count", T.IntegerType()).add("bar_spread", T.DoubleType()).add("reason", T.StringType())
+)
 
 
 @F.pandas_udf(METER)
@@ -370,11 +389,14 @@ def bar_lines(beats: Column, downbeats: Column, per_bar: Column) -> Column:
     return F.transform(F.filter(F.transform(beats, lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda x: F.pmod(x["i"] - phase, per_bar) == 0), lambda x: x["b"])
 
 
-def on_grid_share(onsets: Column, beats: Column, tolerance: float = 0.18) -> Column:
-    """Share of onsets within the tolerance of a sixteenth; null without any inside the grid."""
-    phases = grid_phases(onsets, beats, at_beat_is_zero=True)
-    near = F.filter(phases, lambda p: F.abs(p * 4 - F.floor(p * 4 + 0.5)) <= tolerance)
-    return F.when(F.size(phases) > 0, F.size(near) / F.size(phases))
+@F.pandas_udf(T.DoubleType())
+def on_grid_share(onsets: pd.Series, beats: pd.Series) -> pd.Series:
+    """Share of onsets within 0.18 of a sixteenth; null without any inside the grid."""
+    out = []
+    for o, b in zip(onsets, beats, strict=True):
+        phases = phases_between(_floats(o), _floats(b), True)
+        out.append(float((np.abs(phases * 4 - np.floor(phases * 4 + 0.5)) <= 0.18).mean()) if len(phases) else None)
+    return pd.Series(out, dtype="float64")
 
 
 def tempo_parts(beats: Column, parts: int = 4) -> Column:

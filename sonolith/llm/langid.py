@@ -94,7 +94,7 @@ def marginals(model: Model, scores: np.ndarray, first: np.ndarray) -> np.ndarray
     p = np.ones((count * block, size))
     p[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
     p = p.reshape(count, block, size)
-    new = np.zeros(count * block, bool)
+    new = np.ones(count * block, bool)  # what pads the last block is cut off from it
     new[:n] = first
     new = new.reshape(count, block)
     move = np.exp(model.transitions)

@@ -62,4 +62,42 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_near_dedup, op3_language_id, op4_license_scan, op5_decontamination, op6_mixing, op7_token_counts, op8_class_lm, op9_suffix_dedup, op10_fingerprints)}
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')"
+_ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles(rows: str, key: str, k: int) -> str:
+    """SQL of the distinct shingles of rows(key, w)."""
+    return f"""select distinct {key}, unnest(case when len(w) = 0 then [] when len(w) < {k} then [array_to_string(w, ' ')]
+        else list_transform(generate_series(1, len(w) - {k - 1}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) end) as s from {rows}"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_near_dedup": f"""with recursive t as (select doc_id, {_WORDS.format(text=_ASCII_LOWER)} as w from documents),
+        sh as ({_shingles("t", "doc_id", 4)}), n as (select doc_id, count(*) as n from sh group by 1),
+        pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+        link as (select a, b from pair join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+        reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on l.a = r.b),
+        least as (select a, least(a, min(b)) as m from reach group by 1)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m, d.doc_id) as component_id, d.doc_id = coalesce(m, d.doc_id) as kept
+        from documents d left join n on n.doc_id = d.doc_id left join least on a = d.doc_id""",
+    "op5_decontamination": f"""with i as (select item_id, {_WORDS.format(text="lower(text)")} as w from benchmark), t as (select doc_id, {_WORDS.format(text="lower(text)")} as w from documents),
+        q as ({_shingles("i", "item_id", 5)}), d as ({_shingles("t", "doc_id", 5)}), n as (select item_id, count(*) as n from q group by 1),
+        c as (select doc_id, item_id, count(*) as c from d join q on d.s = q.s group by 1, 2)
+        select doc_id, c.item_id, n as n_shingles, c as n_shared, c / n as containment from c join n on n.item_id = c.item_id where c >= 0.8 * n""",
+    "op6_mixing": f"""with r as (select doc_id, source, len({_WORDS.format(text="text")}) as size from documents),
+        st as (select source, count(*) as n_docs, cast(sum(size) as bigint) as source_size from r group by 1),
+        w as (select *, case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5e0 when 1 then 2e0 else 1e0 end as weight from st),
+        x as (select *, 3 * source_size / weight as ratio, sum(source_size) over () as total from w),
+        y as (select *, (total - coalesce(sum(3e0 * source_size) over (order by ratio, source is null, source rows between unbounded preceding and 1 preceding), 0))
+            / (sum(weight) over () - coalesce(sum(weight) over (order by ratio, source is null, source rows between unbounded preceding and 1 preceding), 0)) as lvl,
+            row_number() over (order by ratio, source is null, source) as pos from x),
+        f as (select min(pos) as pos from y where ratio >= lvl), l as (select y.pos, lvl from y join f on f.pos = y.pos),
+        tg as (select source, n_docs, source_size, round(least(3e0 * source_size, case when y.pos < l.pos then 3e0 * source_size else l.lvl * weight end), 6) as target from y cross join l),
+        c as (select r.doc_id, r.source, r.size, tg.source_size, tg.target, case when tg.source_size > 0 then tg.target / tg.source_size else 0 end as rate,
+            case when size > 0 then floor(log2(size + 0.5e0) * 4) else -1 end as cls, (coalesce(doc_id, 0) % 1000003) * 7919 % greatest(1, cast(ceil(sqrt(n_docs)) as bigint)) as bucket
+            from r join tg on tg.source is not distinct from r.source),
+        k as (select *, row_number() over (partition by source order by cls, bucket, size, doc_id) as i,
+            cast('0x' || substr(md5('mix-1:' || coalesce(source, chr(0) || 'null')), 1, 8) as ubigint) / 4294967296e0 as u from c)
+        select doc_id, size, source_size, target, cast(case when size > 0 then least(3, floor(rate * i + u) - floor(rate * (i - 1) + u)) * size else 0 end as bigint) as taken from k""",
+}

@@ -18,7 +18,8 @@ GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c
 
 
 def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """path, mtime (seconds), size_bytes, status of every file below the roots: audio, appledouble or unsupported. The bytes are not read."""
+    """path, mtime (seconds), size_bytes, status of every file below the roots: audio, appledouble or unsupported. The bytes are not read.
+    Spark's listing leaves out hidden files, so sidecars named ._* are skipped before they are counted; a listing from elsewhere may still have them."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
     name = basename(F.col("path"))
     kind = F.when(name.startswith("._"), "appledouble").when(F.lower(name).rlike(r"\.(" + "|".join(AUDIO_EXTENSIONS) + ")$"), "audio").otherwise("unsupported")

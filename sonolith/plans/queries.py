@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolith.functions import scalars as fn
-from sonolith.operators import aggregates, captions, cues, dml, intervals, library, models, predicates, rhythm, topk
+from sonolith.operators import aggregates, captions, catalog, cues, dml, intervals, library, models, predicates, rhythm, topk
 from sonolith.plans import views
 from sonolith.plans.views import oracle, table, view
 
@@ -756,3 +756,42 @@ def json_numbers(spark: SparkSession, sf: str) -> DataFrame:
 def music_gate(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("file_id"), F.col("l_linenumber").alias("chunk"), F.when(F.col("l_suppkey") % 3 == 0, "Music").otherwise("Speech").alias("class"), (F.col("l_discount") * 10).alias("score"))
     return models.gate(rows).select("file_id", r6("music_score").alias("music_score"), "is_music")
+
+
+# catalog --------------------------------------------------------------------------------------------------------------
+
+
+@query("""select id, o_orderkey as added_at, path from orders join files on o_partkey = id order by added_at, id limit 50""".replace("o_partkey", "o_custkey"), "files")
+def collection_files(spark: SparkSession, sf: str) -> DataFrame:
+    members = table(spark, sf, "orders").select(F.lit(1).alias("collection_id"), F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("added_at"))
+    return catalog.collection_files(members, view(spark, sf, "files"), 1).select("id", "added_at", "path").limit(50)
+
+
+@query(
+    """select s.id, s.file_id, case when s.id % 3 = 0 then 's' || s.id else 'f' || s.file_id end as machine, s.id % 3 = 0 as from_segment from segments s""", "segments"
+)
+def segment_documents(spark: SparkSession, sf: str) -> DataFrame:
+    s = view(spark, sf, "segments").select("id", "file_id")
+    own = s.where("id % 3 = 0").select(F.col("id").alias("segment_id"), "file_id", F.concat(F.lit("s"), F.col("id").cast("string")).alias("machine"))
+    whole = s.select(F.col("file_id").alias("id"), F.concat(F.lit("f"), F.col("file_id").cast("string")).alias("machine")).distinct()
+    return catalog.segment_documents(s, own, whole)
+
+
+@query(
+    """, k as (select id, path, regexp_replace(path, '/[^/]*$', '') as dir, cast(floor(duration_seconds * 20 + 0.5) as bigint) as len from files)
+    select a.path as candidate, b.id as sibling_id from k a join k b on a.dir = b.dir and a.len = b.len where a.id % 4 = 0 and b.id % 4 <> 0""",
+    "files",
+)
+def earlier_siblings(spark: SparkSession, sf: str) -> DataFrame:
+    files = view(spark, sf, "files").withColumn("group_id", F.lit(None).cast("string"))
+    return catalog.earlier_siblings(files.where("id % 4 = 0").select("path", "duration_seconds"), files).select("candidate", "sibling_id")
+
+
+@query(
+    """select id, 'key' as field, key as value from files where key is not null union all select id, 'content_type', content_type from files
+    union all select id, 'warning', 'mostly silence' from files where harmonicity < 0.5 union all select id, 'warning', 'tempo estimates disagree' from files where abs(danceable + 0.5e0 - 1) > 0.05""",
+    "files",
+)
+def file_report(spark: SparkSession, sf: str) -> DataFrame:
+    files = view(spark, sf, "files").withColumns({"active_ratio": F.col("harmonicity"), "bpm_ratio": F.col("danceable") + 0.5, "tempo_unstable": F.lit(False), "tempo_window_count": F.lit(0)})
+    return catalog.report(files, ["key", "content_type"])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sonolith.functions import scalars as fn
-from sonolith.operators import aggregates, captions, cues, dml, intervals, library, models, predicates, rhythm, topk
+from sonolith.operators import aggregates, captions, catalog, cues, dml, intervals, library, models, predicates, rhythm, signal, topk
 from sonolith.sources import documents, files
 from sonolith.streaming import streams
 
@@ -432,3 +432,55 @@ def test_streams(spark, tmp_path):
     got = [r["ewma"] for r in spark.table("smoothed").orderBy("ts").collect()]
     assert got[:3] == pytest.approx([0.0, 0.3, 0.81])
     assert streams.tumbling(rows, "key", "value").count() == 2
+
+
+# signal and catalog ---------------------------------------------------------------------------------------------------
+
+
+def test_descriptors_of_a_tone_and_of_noise(spark):
+    rate = 44_100
+    t = np.arange(rate) / rate
+    sine, noise = signal.describe(np.sin(2 * math.pi * 1000 * t), rate), signal.describe(np.random.default_rng(0).normal(0, 0.1, rate), rate)
+    assert abs(sine["spectral_centroid_hz"] - 1000) < 30 and sine["spectral_flatness"] < 0.01 < 0.4 < noise["spectral_flatness"]
+    assert abs(sine["crest_factor"] - math.pi / 2) < 0.01 and abs(sine["peak_db"]) < 0.01
+    assert signal.describe(np.sin(2 * math.pi * 50 * t), rate)["sub_ratio"] > 0.9
+    assert signal.describe(np.zeros(rate), rate)["peak_db"] is None and signal.describe(np.zeros(10), rate)["frame_count"] == 0
+    row = spark.createDataFrame([([0.0] * 3000, 8000)], "m array<double>, r int").select(signal.descriptors("m", "r").alias("d"), signal.frame_rms("m").alias("rms"), signal.envelopes("m", "r").alias("e")).first()
+    assert row["d"]["frame_count"] == 1 and row["rms"] == [0.0] and max(row["e"]) == 0.0
+
+
+def test_onsets_of_clicks():
+    rate = 22_050
+    x = np.random.default_rng(1).normal(0, 1e-4, rate * 2)
+    for at in (0.5, 1.0, 1.5):
+        x[int(at * rate) : int(at * rate) + 200] += 0.8
+    hop = signal.ONSET_HOP / rate
+    times = [i * hop - hop / 2 for i in rhythm.pick_peaks(signal.onset_envelope(x, rate), hop)]
+    assert all(min(abs(t - at) for t in times) < 0.06 for at in (0.5, 1.0, 1.5))
+
+
+def test_rendered_takes(spark):
+    x = np.full((1, 1000), 0.5)
+    out, peak = signal.render_take(x, 100, 1.0, 9.0, 20 * math.log10(3), 1.0, 2.0)
+    assert out.shape == (1, 800) and out[0, 0] == 0 and abs(out[0, 50] - 0.75) < 1e-9 and abs(peak - 1.5) < 1e-9 and abs(out[0, 700] - 0.75) < 1e-9
+    squeezed, _ = signal.render_take(x, 100, 0.0, 1.0, 0.0, 3.0, 1.0)
+    assert squeezed[0, 75] == 0.5 and signal.render_take(x, 100, 20.0, 30.0, 0.0, 0, 0)[0].shape == (1, 0)
+    rows = spark.createDataFrame([(bytearray(tone(1)), (0.0, 0.5, 20.0, 0.0, 0.0)), (bytearray(b"x"), (0.0, 0.0, 0.0, 0.0, 0.0))], "c binary, e struct<start: double, end: double, gain_db: double, fade_in: double, fade_out: double>")
+    got = [r[0] for r in rows.select(signal.rendered("c", "e")).collect()]
+    assert got[0]["n_frames"] == 4000 and got[0]["clipped"] and got[1]["wav"] is None
+
+
+def test_measurement(spark):
+    rows = spark.createDataFrame([(1, 5, None, [(1.0, 2.0), (10.0, 20.0)], 90.0, "C", "D", [0.5, 2.0], [1.0], [1.5]), (2, None, "file", None, 900.0, None, "D", None, [1.0], [])], "id long, analyzed_at long, timebase string, active_spans array<struct<start: double, end: double>>, bpm double, human_key string, key string, onsets array<double>, beats array<double>, downbeats array<double>")
+    a, b = catalog.measurement(rows).orderBy("id").collect()
+    assert a["onsets"] == [1.5, 11.0] and a["key"] == "C" and a["note"] == "" and a["first_downbeat"] == 10.5
+    assert b["bpm"] is None and b["beats"] == [1.0] and b["note"] == "that take has not been analysed" and b["first_downbeat"] is None
+
+
+def test_kept_takes_and_groups(spark):
+    table = spark.createDataFrame([(1, "/a", "h", 1, 1, 1, {"genre": "x"})], "id long, path string, sha256 string, mtime long, size_bytes long, scanned_at long, human map<string,string>")
+    take = spark.createDataFrame([("/a", "n", 2, 2, 2), ("/b", "m", 3, 3, 3)], "path string, sha256 string, mtime long, size_bytes long, scanned_at long")
+    out = {r["path"]: r for r in catalog.kept_take(table, take, "{}").collect()}
+    assert out["/a"]["human"] == {"genre": "x", "generated": "{}"} and out["/b"]["human"] == {"generated": "{}"} and out["/a"]["sha256"] == "n"
+    rows = spark.createDataFrame([(1, "/d", 284, None), (2, "/d", 284, "old"), (3, "/d", 285, None)], "id long, dir string, length long, group_id string")
+    assert {r["id"]: r["group_id"] for r in catalog.joined_group(rows).collect()} == {1: "old", 2: "old"}

@@ -13,6 +13,9 @@ SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_own: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,8 +24,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a session without one (tests) gets a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        shared = f"file://{tempfile.mkdtemp(prefix='sonolith-')}"
-        spark.conf.set("spark.checkpoint.dir", shared)
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='sonolith-')}")
+        shared = _own[0]
     return shared.rstrip("/")
 
 

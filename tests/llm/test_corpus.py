@@ -424,3 +424,9 @@ def test_pipeline(spark, rows, tmp_path):
     assert out and all(1 <= r["copies"] <= 3 for r in out)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_scratch_folder(spark):
+    from sonolith.llm.common import scratch_dir
+
+    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

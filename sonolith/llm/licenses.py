@@ -53,12 +53,18 @@ def template_weights(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[
     return out, math.log(1 + len(terms)) + 1
 
 
+def telling_terms(templates: dict[str, str] = TEMPLATES) -> list[str]:
+    """Words of which a line must have one to be scored: those of few templates, and what licenses are called."""
+    weights, _ = template_weights(templates)
+    return sorted({t for _, t, _, idf in weights if idf >= math.log((1 + len(templates)) / 3) + 1 and not t.isdigit() and len(t) > 2} | {"license", "licensed", "licence"})
+
+
 def line_scores(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """docs(row, text) -> row, line (from 0), n_terms, license, score of the best template for each line that shares a rare term with one."""
     spark = docs.sparkSession
     weights, unknown = template_weights(templates)
     table = spark.createDataFrame(weights, "license string, term string, weight double, idf double")
-    rare = sorted({t for _, t, _, idf in weights if idf >= math.log((1 + len(templates)) / 3) + 1 and not t.isdigit() and len(t) > 2} | {"license", "licensed", "licence"})
+    rare = telling_terms(templates)
     lines = docs.select("row", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     lines = lines.withColumn("body", F.lower("body")).where(F.col("body").rlike(r"(^|[^a-z0-9])(" + "|".join(rare) + r")([^a-z0-9]|$)"))
     terms = lines.select("row", "line", F.regexp_extract_all("body", F.lit("(" + TERM + ")"), 1).alias("terms")).withColumn("n_terms", F.size("terms").cast("long"))

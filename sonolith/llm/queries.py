@@ -72,7 +72,29 @@ def _shingles(rows: str, key: str, k: int) -> str:
         else list_transform(generate_series(1, len(w) - {k - 1}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) end) as s from {rows}"""
 
 
+def _license_sql() -> str:
+    weights, unknown = licenses.template_weights()
+    rows = ", ".join(f"('{n}', '{t}', {w!r}::double, {i!r}::double)" for n, t, w, i in weights)
+    telling = "|".join(licenses.telling_terms())
+    return f"""with tw(license, term, weight, idf) as (values {rows}), idf as (select term, max(idf) as idf from tw group by 1),
+        f as (select doc_id, coalesce(source, 'none') || '/' || cast(floor(doc_id / 100) as bigint) || '/' || doc_id || '.txt' as path, text from documents),
+        a as (select doc_id, string_split(lower(text), chr(10)) as ls from f), l as (select doc_id, unnest(ls) as body, unnest(generate_series(1, len(ls))) as line from a),
+        c as (select doc_id, line, regexp_extract_all(body, '[a-z0-9]+(?:\\.[0-9]+)*') as terms from l where regexp_matches(body, '(^|[^a-z0-9])({telling})([^a-z0-9]|$)')),
+        t as (select doc_id, line, len(terms) as n_terms, unnest(terms) as term from c), k as (select doc_id, line, n_terms, term, count(*) as n from t group by all),
+        w as (select k.*, n * coalesce(idf.idf, {unknown!r}::double) as w from k left join idf on idf.term = k.term), nrm as (select doc_id, line, sqrt(sum(w * w)) as norm from w group by 1, 2),
+        cs as (select w.doc_id, w.line, w.n_terms, tw.license, round(sum(w.w * tw.weight) / max(norm), 9) as score from w join tw on tw.term = w.term join nrm on nrm.doc_id = w.doc_id and nrm.line = w.line group by 1, 2, 3, 4),
+        b as (select *, row_number() over (partition by doc_id, line order by score desc, license) as p from cs),
+        d as (select *, row_number() over (partition by doc_id order by score desc, license, line) as q from b where p = 1 and score >= {licenses.COSINE}),
+        o as (select doc_id, max(case when q = 1 then license end) as license, max(score) as score, sum(n_terms) as notice from d group by 1),
+        own as (select f.doc_id, path, license, score, license is not null and notice >= {licenses.SHARE} * len(regexp_split_to_array(trim(coalesce(text, '')), '\\s+')) as speaks, regexp_replace(path, '/[^/]*$', '') as dir from f left join o on o.doc_id = f.doc_id),
+        sp as (select dir, license, score, row_number() over (partition by dir order by score desc, path, doc_id) as r from own where speaks)
+        select own.doc_id, path, coalesce(own.license, sp.license) as license, coalesce(own.score, sp.score) as score,
+        case when own.license is not null then 'declared' when sp.license is not null then 'inherited' else 'none' end as origin, case when own.license is null then sp.dir end as from_dir
+        from own left join sp on sp.dir = own.dir and r = 1 and own.license is null"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_license_scan": _license_sql(),
     "op2_near_dedup": f"""with recursive t as (select doc_id, {_WORDS.format(text=_ASCII_LOWER)} as w from documents),
         sh as ({_shingles("t", "doc_id", 4)}), n as (select doc_id, count(*) as n from sh group by 1),
         pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),

@@ -3,7 +3,8 @@
 Language ID rejects texts without a language (no letters) or without a majority language; line dedup cuts repeated chunks out of the
 texts and drops a document only if nothing of it is left; near-dedup keeps one document of each group; decontamination
 drops documents that hold a benchmark item; mixing gives each document its number of copies and drops those without one.
-Rows that share a doc_id share its fate.
+Rows that share a doc_id share its fate. Further columns pass
+through; `copies` and, in line dedup, `line_dedup` are the stages' own and replace a column of that name.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = linededup.dedup(docs).where("line_dedup.n_removed_lines = 0 or line_dedup.n_removed_lines < line_dedup.n_lines")
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = linededup.dedup(docs.drop("line_dedup")).where("line_dedup.n_removed_lines = 0 or line_dedup.n_removed_lines < line_dedup.n_lines")
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*[c for c in docs.columns if c != "line_dedup"])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = neardup.groups(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "mixed_id")
-    return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).drop("mixed_id")
+    docs = docs.drop("copies")
+    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["mixed_id"])).select(*[docs[c] for c in docs.columns], mixed["copies"])
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("mixture", mixture)]

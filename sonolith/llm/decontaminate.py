@@ -70,4 +70,4 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, containmen
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item; a null doc_id is told by null-safe comparison."""
     found = contaminated(docs, items).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__found")), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__found"]), "left_anti")

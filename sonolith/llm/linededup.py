@@ -18,6 +18,8 @@ Only DataFrame functions are used; array functions cut a text's lines, so a row
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +28,33 @@ from sonolith.llm.common import materialize
 DIVISOR = 3
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: array functions evaluate an argument anew wherever it is written."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def chunk_starts(lines: Column, divisor: int = DIVISOR) -> Column:
     """Places (from 1) of the lines that begin a chunk, and one past the last line."""
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
     n = F.size(lines)
-    rolled = F.zip_with(F.slice(hashes, 1, F.greatest(n - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.pmod(F.shiftleft(a, 7).bitwiseXOR(b), F.lit(divisor)) == 0)
-    inner = F.filter(F.transform(rolled, lambda cut, i: F.when(cut, i + 3)), lambda i: i.isNotNull() & (i <= n))
-    return F.concat(F.array(F.lit(1)), inner, F.array(n + 1))
+
+    def places(hashes: Column) -> Column:
+        rolled = F.transform(hashes, lambda h, i: F.when((i > 0) & (i < n - 1) & (F.pmod(F.shiftleft(F.get(hashes, i - 1), 7).bitwiseXOR(h), F.lit(divisor)) == 0), i + 2))
+        return F.concat(F.array(F.lit(1)), F.array_compact(rolled), F.array(n + 1))
+
+    return let(F.transform(lines, lambda x: F.xxhash64(x)), places)
 
 
 def chunks(text: Column, divisor: int = DIVISOR) -> Column:
     """array<struct<first: int, n_lines: int, body: string>> of a text; null for null."""
-    lines = F.split(text, "\n", -1)
-    starts = chunk_starts(lines, divisor)
-    return F.zip_with(
-        F.slice(starts, 1, F.size(starts) - 1),
-        F.slice(starts, 2, F.size(starts) - 1),
-        lambda a, b: F.struct(a.alias("first"), (b - a).alias("n_lines"), F.array_join(F.slice(lines, a, b - a), "\n").alias("body")),
-    )
+
+    def cut(lines: Column) -> Column:
+        def bodies(starts: Column) -> Column:
+            ends = F.slice(starts, 2, F.size(starts) - 1)
+            return F.transform(ends, lambda b, i: let(F.get(starts, i), lambda a: F.struct(a.alias("first"), (b - a).alias("n_lines"), F.array_join(F.slice(lines, a, b - a), "\n").alias("body"))))
+
+        return let(chunk_starts(lines, divisor), bodies)
+
+    return F.when(text.isNotNull(), let(F.split(text, "\n", -1), cut))
 
 
 def eligible(chunk: Column) -> Column:

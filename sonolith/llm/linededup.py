@@ -11,7 +11,8 @@ A repeated chunk stays in the document with the smallest doc_id, at its first pl
 
 Nulls and odd input: a null text stays null, with no lines; an empty text has one empty line; null doc_ids come after all
 others in the choice of the first document; rows that share a doc_id count as one document for that choice. Empty input
-gives an empty result. Extra columns pass through untouched.
+gives an empty result. Extra columns pass through untouched,
+but for one named line_dedup, which the result replaces.
 
 Only DataFrame functions are used; array functions cut a text's lines, so a row is never spread over a group.
 """
@@ -73,6 +74,7 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 def dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """docs(doc_id, text, ...) -> all its columns with `text` cleaned, and a struct `line_dedup` of n_lines, n_removed_lines,
     n_removed_chunks and the removed spans (first line from 1, lines)."""
+    docs = docs.drop("line_dedup", "__hits", "__chunks", "__digests", "__chosen")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeated = materialize(repeated_chunks(slim, divisor), "chunks")
     places = slim.select("doc_id", "text").where(F.col("text").contains("\n"))

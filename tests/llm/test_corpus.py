@@ -422,8 +422,10 @@ def test_pipeline(spark, rows, tmp_path):
             assert {60, 61, 62, 64}.isdisjoint(r["doc_id"] for r in docs.collect())
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(1 <= r["copies"] <= 3 for r in out)
+    clash = docs.withColumns({c: F.lit(1) for c in ("copies", "line_dedup", "kept_id", "mixed_id", "label", "hash")})
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        assert stage(spark, clash, str(tmp_path)).count() == stage(spark, docs, str(tmp_path)).count()
 
 
 def test_scratch_folder(spark):

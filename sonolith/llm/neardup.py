@@ -3,15 +3,18 @@
 1. Every document gets the number of its distinct word shingles, a 128-bit fingerprint of that set and a MinHash
    signature of COORDINATES values. Documents of one set are one node from here on, so copies cost nothing more.
 2. Each node is posted under its coordinate-value pairs; a pair that no other node has is dropped. Two sets at the
-   similarity share at least MATCHES coordinates (all but about one pair in 10^5 at exactly 0.8, fewer above), so a node
+   similarity share at least MATCHES coordinates (all but 4 pairs in 10^5 at exactly 0.8, fewer above), so a node
    with fewer shared coordinates has no partner, and partners of a node with m of them meet in the m - MATCHES + 1 rarest: its
    prefix. Only prefixes are merged; the long lists of frequent values are skipped, and looked up by comparing signatures.
-3. Lists are not multiplied out. Every list names one leader (another one each round), members are compared with it alone,
-   pairs with MATCHES collisions or more are confirmed on full sets, and confirmed links make components.
-4. A list whose members are in one component is done. The nodes of the others are joined once more, exactly: a set at the
-   similarity shares one of the rarest (1 - similarity) * size + 1 shingles of either side (prefix filter on full
-   sets, rarest first), and only pairs between different components are confirmed. So no list, however long, is emitted as all its
-   pairs, and no link between components is lost.
+3. Short lists (SHORT nodes at most) give all their pairs; those with MATCHES collisions or more are confirmed on full sets.
+   Longer lists are never multiplied out. Each names its most typical node (most shared coordinates) as leader, and every
+   member is compared with the leader on full sets, which gives a link or none, and the member's difference from the leader.
+4. Members linked with the leader are one component. What remains are links with a member s that isn't. With d the difference of
+   two sets and q = (1 - J) / (1 + J), a link of s and x means d(s, x) <= q(|s| + |x|), while d(s, leader) > q(|s| + |leader|). As
+   d(s, x) = d(s) + d(x) - 2 |common differences|, the two must share more than half (but for sizes) of x's differences from the leader, and,
+   taking x as the one with fewer, all but q(|s| + |x|) / 2 of them. So s and x meet in a prefix of x's differences, rarest first; what the
+   whole list has in common is no difference, and the leader's own peculiarities come last. Pairs of different components that
+   meet there, with enough differences to come, are confirmed on full sets. No list, however long, is emitted as all its pairs, and no link is lost.
 
 Components come from minimum labels with pointer jumping, all in tables; nothing of the graph goes to the driver.
 
@@ -34,7 +37,8 @@ from sonolith.llm.textvec import Piece, mix, pieces, stream
 
 COORDINATES, MATCHES = 64, 38
 SIMILARITY = 80  # percent
-LEADER_ROUNDS = 2
+#: Nodes in a list whose pairs are all compared.
+SHORT = 6
 _A, _B, _SALT = stream(21, COORDINATES) | np.uint64(1), stream(22, COORDINATES), stream(23, COORDINATES)
 
 
@@ -118,40 +122,20 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY) -> D
     nodes = marked.join(sets.select("node"), marked["row"] == F.col("node")).select("node", "doc_id", "mark1", "mark2", "n_shingles", "signature")
     posted = nodes.select("node", F.explode("signature").alias("key"))
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    listed = posted.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= MATCHES)
-    prefixes = materialize(listed.select("node", F.expr(f"transform(slice(keys, 1, size(keys) - {MATCHES - 1}), k -> k.key)").alias("prefix")), "prefixes")
-    posts = prefixes.select("node", F.explode("prefix").alias("key"))
-    # a node whose prefix lists hold no other node has no partner
-    crowded = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    posts = materialize(posts.join(crowded, "key"), "posts")
+    listed = posted.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"), F.sum("df").alias("weight")).where(F.size("keys") >= MATCHES)
+    prefixes = materialize(listed.select("node", "weight", F.expr(f"transform(slice(keys, 1, size(keys) - {MATCHES - 1}), k -> k.key)").alias("prefix")), "prefixes")
+    posts = prefixes.select("node", "weight", F.explode("prefix").alias("key"))
+    lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader")).where("n > 1")
+    posts = materialize(posts.join(lists, "key").select("key", "node", "n", "leader"), "posts")
     wanted = materialize(nodes.join(posts.select("node").distinct(), "node", "left_semi"), "candidates")
     full = materialize(shingle_sets(docs, wanted.select("node", "doc_id", "mark1", "mark2"), shingle), "shingle-sets")
-    sign = wanted.select("node", "signature", "n_shingles")
-    links = None
-    labels = None
-    for turn in range(LEADER_ROUNDS):
-        at = posts if labels is None else with_label(posts, labels)
-        if labels is not None:
-            open_keys = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-            at = at.join(open_keys, "key")
-        else:
-            at = at.withColumn("label", F.col("node"))
-        leader = at.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("lead"))
-        stars = at.join(leader, "key").where("label != lead.label").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        compared = (
-            stars.join(sign.select(F.col("node").alias("a"), F.col("signature").alias("ka"), F.col("n_shingles").alias("na")), "a")
-            .join(sign.select(F.col("node").alias("b"), F.col("signature").alias("kb"), F.col("n_shingles").alias("nb")), "b")
-            .where((100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (F.size(F.array_intersect("ka", "kb")) >= MATCHES))
-            .select("a", "b")
-        )
-        found = materialize(confirmed(compared, full, similarity), "confirmed")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    at = with_label(posts, labels)
-    open_keys = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    unsettled = materialize(at.join(open_keys, "key").select("node", "label").distinct(), "unsettled")
-    rest = between(unsettled, full, similarity)
-    labels = components(links.union(rest))
+    links = confirmed(colliding(short_pairs(posts), wanted, similarity), full, similarity)
+    led = materialize(against_leaders(posts, full, similarity), "against-leaders")
+    links = materialize(links.union(led.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))), "confirmed")
+    labels = components(links)
+    rest = materialize(confirmed(far_pairs(led, labels, similarity), full, similarity), "far-links")
+    if not rest.isEmpty():
+        labels = components(links.union(rest))
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     member = named.join(least, "label").select("mark1", "mark2", "component_id")
@@ -160,18 +144,63 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY) -> D
     return grouped.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def with_label(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    return posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def between(unsettled: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
-    """All links between different components of unsettled(node, label), by the prefix filter on full sets."""
-    rows = full.join(unsettled, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
-    ranked = rows.join(often, "shingle").groupBy("node").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle", (F.col("low") != F.col("high")).alias("open")))).alias("all"))
-    least = F.floor(F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1).cast("int")
-    prefix = ranked.select("node", "label", "n", F.explode(F.slice("all", 1, least)).alias("s")).where("s.open").select("node", "label", "n", "s.shingle")
-    prefix = materialize(prefix, "shingle-prefixes")
-    x, y = (prefix.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "n")], "shingle") for side in "ab")
-    pairs = x.join(y, "shingle").where("node_a < node_b and label_a != label_b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    return materialize(confirmed(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), full, similarity), "between")
+def short_pairs(posts: DataFrame) -> DataFrame:
+    """All pairs of the short lists; each list is a row, so its pairs are a bounded array."""
+    short = posts.where(F.col("n") <= SHORT).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, SHORT), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return short.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+
+def colliding(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """Of pairs(a, b) those whose sizes allow the similarity and whose signatures share MATCHES coordinates."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("signature").alias(f"k{x}"), F.col("n_shingles").alias(f"n{x}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b")
+    return sized.where((100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (F.size(F.array_intersect("ka", "kb")) >= MATCHES)).select("a", "b")
+
+
+def against_leaders(posts: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """Members of long lists against their leaders: node, leader, n, leader_n, linked, differences."""
+    edges = posts.where((F.col("n") > SHORT) & (F.col("node") != F.col("leader"))).select("node", "leader").distinct()
+    heads = full.select(F.col("node").alias("leader"), F.col("shingles").alias("leader_set"))
+    both = edges.join(full, "node").join(heads, "leader")
+    shared = F.size(F.array_intersect("shingles", "leader_set"))
+    return both.select(
+        "node",
+        "leader",
+        F.size("shingles").alias("n"),
+        F.size("leader_set").alias("leader_n"),
+        (100 * shared >= similarity * (F.size("shingles") + F.size("leader_set") - shared)).alias("linked"),
+        F.concat(F.array_except("shingles", "leader_set"), F.array_except("leader_set", "shingles")).alias("differences"),
+    )
+
+
+def far_pairs(led: DataFrame, labels: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of different components in one list that may be linked though one isn't linked with the leader: a, b."""
+    q = (100 - similarity) / (100 + similarity)
+    found = led.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+    found = found.join(heads, "leader", "left").withColumn("leader_label", F.coalesce("leader_label", "leader"))
+    mixed = found.groupBy("leader").agg(F.count_if(F.col("label") != F.col("leader_label")).alias("apart")).where("apart > 0").select("leader")
+    d = F.size("differences")
+    half = F.floor((d + q * (F.col("leader_n") - F.col("n"))) / 2)
+    prefix_any = F.greatest(F.lit(0), F.least(d, d - half))
+    prefix_fewer = F.least(prefix_any, F.floor(q * F.col("n") * (1 + 100 / similarity) / 2 + 1e-9) + 1)
+    open_ = materialize(found.join(mixed, "leader").select("leader", "node", "label", "n", "linked", "differences", d.alias("d"), prefix_any.alias("prefix_any"), prefix_fewer.alias("prefix_fewer")), "open-groups")
+    often = open_.select("leader", F.explode("differences").alias("e")).groupBy("leader", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    element = open_.select("leader", "node", F.explode("differences").alias("e")).join(often, ["leader", "e"])
+    by_node = element.groupBy("leader", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("common"))
+    # elements that only one node has come first in the order and lead nowhere
+    ranked = open_.drop("differences").join(by_node, ["leader", "node"]).withColumn("skipped", F.col("d") - F.size("common"))
+    reach = F.when(F.col("linked"), F.col("prefix_any")).otherwise(F.col("prefix_fewer")) - F.col("skipped")
+    head = ranked.where(reach > 0).select("leader", "label", "n", "d", "linked", F.col("node").alias("x"), "prefix_any", "prefix_fewer", "skipped", F.posexplode(F.slice("common", F.lit(1), reach.cast("int"))).alias("pos", "c"))
+    at = F.col("pos") + F.col("skipped")
+    head = head.select("leader", F.col("c.e").alias("e"), "x", F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("d").alias("x_d"), at.alias("x_at"), (at < F.col("prefix_fewer")).alias("early"), F.col("linked").alias("x_linked"))
+    rest = ranked.where("not linked").select("leader", F.posexplode("common").alias("pos", "c"), "skipped", F.col("node").alias("s"), F.col("label").alias("s_label"), F.col("n").alias("s_n"), F.col("d").alias("s_d"))
+    rest = rest.select("leader", F.col("c.e").alias("e"), "s", "s_label", "s_n", "s_d", at.alias("s_at"))
+    meets = (F.col("early") & (F.col("s_d") >= F.col("x_d"))) | (F.col("x_linked") & (F.col("s_d") < F.col("x_d")))
+    sizes = (100 * F.least("x_n", "s_n") >= similarity * F.greatest("x_n", "s_n")) & (F.abs(F.col("s_d") - F.col("x_d")) <= q * (F.col("s_n") + F.col("x_n")) + 1e-9)
+    # from a pair's first common difference on, both sides must have as many left as the pair needs
+    needed = (F.col("s_d") + F.col("x_d") - q * (F.col("s_n") + F.col("x_n"))) / 2
+    left = F.least(F.col("x_d") - F.col("x_at"), F.col("s_d") - F.col("s_at")) >= needed - 1e-9
+    pairs = head.join(rest, ["leader", "e"]).where((F.col("x_label") != F.col("s_label")) & meets & sizes & left)
+    return pairs.select(F.least("x", "s").alias("a"), F.greatest("x", "s").alias("b")).distinct()

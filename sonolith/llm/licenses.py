@@ -1,12 +1,12 @@
 """License scans: sparse TF-IDF cosine of texts' lines to license templates, then inheritance from the nearest ancestor directory.
 
-A line (of headers, footers and license files alike: every line is scored) is a sparse vector of term counts times the
+A line (of headers, footers and license files alike: every line with a word of TELLING is scored) is a sparse vector of term counts times the
 templates' inverse document frequency; its likeness to a template is the cosine, with words unknown to the templates
 counted in the norm at the highest IDF. A file declares the license of its best line at COSINE or above; ties go to the first name. A file that is
 mostly such a line (SHARE of its words) or is named like a license file speaks for its directory; a file that declares nothing
 takes the license of the nearest directory above it that has one (of several files of a directory, the best score, then the first path).
 
-The table of templates is a parameter of the scan, not data: it is broadcast after its size is checked. Directory licenses
+The table of templates is a parameter of the scan, not data (some dozens of rows), so it is broadcast. Directory licenses
 are joined by path equality on each file's list of ancestors (as long as the path is deep), never by prefix comparison.
 
 Nulls and odd input: a null or empty text declares nothing; a null path has no directory and inherits nothing; repeated rows
@@ -36,6 +36,8 @@ TEMPLATES = {
     "MIT": "released under the mit license",
     "MPL-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
 }
+#: Words of which a line must have one to be scored.
+TELLING = ["license", "licensed", "licence", "licenced", "licenses", "spdx", "apache", "bsd", "cc", "commons", "gnu", "gpl", "mit", "mozilla", "mpl", "redistribution"]
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
@@ -53,20 +55,19 @@ def template_weights(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[
     return out, math.log(1 + len(terms)) + 1
 
 
-def telling_terms(templates: dict[str, str] = TEMPLATES) -> list[str]:
-    """Words of which a line must have one to be scored: those of few templates, and what licenses are called."""
-    weights, _ = template_weights(templates)
-    return sorted({t for _, t, _, idf in weights if idf >= math.log((1 + len(templates)) / 3) + 1 and not t.isdigit() and len(t) > 2} | {"license", "licensed", "licence"})
+def telling_lines(text: Column) -> Column:
+    """array<struct<line, body>> of a text's lines, in lower case, that have a telling term."""
+    pattern = r"(^|[^a-z0-9])(" + "|".join(TELLING) + r")([^a-z0-9]|$)"
+    lines = F.transform(F.split(F.lower(text), "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("body")))
+    return F.filter(lines, lambda x: x["body"].rlike(pattern))
 
 
 def line_scores(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """docs(row, text) -> row, line (from 0), n_terms, license, score of the best template for each line that shares a rare term with one."""
+    """docs(row, lines) -> row, line (from 0), n_terms, license, score of the best template for each of the lines, as from telling_lines()."""
     spark = docs.sparkSession
     weights, unknown = template_weights(templates)
     table = spark.createDataFrame(weights, "license string, term string, weight double, idf double")
-    rare = telling_terms(templates)
-    lines = docs.select("row", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    lines = lines.withColumn("body", F.lower("body")).where(F.col("body").rlike(r"(^|[^a-z0-9])(" + "|".join(rare) + r")([^a-z0-9]|$)"))
+    lines = docs.select("row", F.explode("lines").alias("l")).select("row", "l.line", "l.body")
     terms = lines.select("row", "line", F.regexp_extract_all("body", F.lit("(" + TERM + ")"), 1).alias("terms")).withColumn("n_terms", F.size("terms").cast("long"))
     counted = terms.select("row", "line", "n_terms", F.explode("terms").alias("term")).groupBy("row", "line", "n_terms", "term").agg(F.count(F.lit(1)).alias("n"))
     idf = table.groupBy("term").agg(F.max("idf").alias("idf"), F.collect_list(F.struct("license", "weight")).alias("per"))
@@ -87,15 +88,18 @@ def ancestors(path: Column) -> Column:
 
 def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, cosine: float = COSINE, share: float = SHARE) -> DataFrame:
     """files(doc_id, path, text) -> doc_id, path, license, score, origin (declared, inherited or none), from_dir."""
-    rows = with_defaults(files, doc_id="long", path="string", text="string").withColumn("row", F.xxhash64("doc_id", "path", "text"))
-    found = line_scores(rows.select("row", "text").distinct(), templates).where(F.col("score") >= cosine)
+    terms = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")).cast("long")
+    rows = with_defaults(files, doc_id="long", path="string", text="string")
+    # one pass over the texts; only telling lines go on
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", terms.alias("n_terms"), telling_lines(F.col("text")).alias("lines")), "license-lines")
+    found = line_scores(rows.where(F.size("lines") > 0).select("row", "lines"), templates).where(F.col("score") >= cosine)
     first = Window.partitionBy("row").orderBy(F.desc("score"), "license", "line")
     declared = found.withColumn("place", F.row_number().over(first)).groupBy("row").agg(
         F.max(F.when(F.col("place") == 1, F.col("license"))).alias("license"), F.max("score").alias("score"), F.sum("n_terms").alias("notice_terms")
     )
-    terms = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+"))
-    slim = rows.select("row", "doc_id", "path", terms.cast("long").alias("n_terms"))
-    own = materialize(slim.join(declared, "row", "left").select("doc_id", "path", "license", "score", (F.col("license").isNotNull() & ((F.col("notice_terms") >= share * F.col("n_terms")) | F.col("path").rlike(LICENSE_FILE))).alias("speaks")), "licenses")
+    slim = rows.select("row", "doc_id", "path", "n_terms")
+    speaks = F.col("license").isNotNull() & ((F.col("notice_terms") >= share * F.col("n_terms")) | F.col("path").rlike(LICENSE_FILE))
+    own = materialize(slim.join(declared, "row", "left").select("doc_id", "path", "license", "score", F.coalesce(speaks, F.col("license").isNotNull() & (F.col("notice_terms") >= share * F.col("n_terms")), F.lit(False)).alias("speaks")), "licenses")
     speakers = own.where("speaks and path is not null").withColumn("dir", F.element_at(ancestors(F.col("path")), 1))
     dirs = speakers.select("dir", "license", "score", "path", "doc_id").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "doc_id", "license")).alias("best")).select("dir", F.col("best.license").alias("dir_license"), (-F.col("best.s")).alias("dir_score"))
     needy = own.where("license is null and path is not null").select("path").distinct()

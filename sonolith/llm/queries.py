@@ -75,7 +75,7 @@ def _shingles(rows: str, key: str, k: int) -> str:
 def _license_sql() -> str:
     weights, unknown = licenses.template_weights()
     rows = ", ".join(f"('{n}', '{t}', {w!r}::double, {i!r}::double)" for n, t, w, i in weights)
-    telling = "|".join(licenses.telling_terms())
+    telling = "|".join(licenses.TELLING)
     return f"""with tw(license, term, weight, idf) as (values {rows}), idf as (select term, max(idf) as idf from tw group by 1),
         f as (select doc_id, coalesce(source, 'none') || '/' || cast(floor(doc_id / 100) as bigint) || '/' || doc_id || '.txt' as path, text from documents),
         a as (select doc_id, string_split(lower(text), chr(10)) as ls from f), l as (select doc_id, unnest(ls) as body, unnest(generate_series(1, len(ls))) as line from a),

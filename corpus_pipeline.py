@@ -1,6 +1,6 @@
 """The corpus pipeline over `documents`: each stage is written as Parquet and read again as the next one's documents.
 
-Language ID rejects texts without a language (no letters) or without a majority language; line dedup cuts repeated chunks out of the
+Language ID rejects texts without a language (no letters) or without a majority language; line dedup cuts later copies of passages out of the
 texts and drops a document only if nothing of it is left; near-dedup keeps one document of each group; decontamination
 drops documents that hold a benchmark item; mixing gives each document its number of copies and drops those without one.
 Rows that share a doc_id share its fate. Further columns pass
@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = linededup.dedup(docs.drop("line_dedup")).where("line_dedup.n_removed_lines = 0 or line_dedup.n_removed_lines < line_dedup.n_lines")
+    found = linededup.dedup_runs(docs.drop("line_dedup")).where("line_dedup.n_removed_lines = 0 or line_dedup.n_removed_lines < line_dedup.n_lines")
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*[c for c in docs.columns if c != "line_dedup"])
 
 

@@ -1,13 +1,13 @@
-"""Line dedup: multi-line chunks that occur more than once in the corpus stay only where they occur first.
+"""Line dedup: passages of two lines or more that occur more than once in the corpus stay only where they occur first.
 
-A text is split at newlines. A rolling hash over the hashes of two neighbouring lines ends a chunk after the second wherever it is 0
-modulo DIVISOR, so boundaries follow content and shift with it. Chunks of two lines or more are grouped by their bytes
-over the whole corpus (the grouping compares them byte by byte, and combines copies before the shuffle). Texts find
-their repeated chunks again by a SHA-256 that the grouping has proved to belong to one chunk text only; a digest that
-two texts share (never seen) removes nothing.
+A text is split at newlines, and every two neighbouring lines are a pair, so no boundary can split a repeated passage. A pair
+stays at its first place: the smallest doc_id that has it, and the first place there. Both lines of each later copy go, so
+every line of a repeated passage goes from its later copies, however the text around it runs and wherever it is cut. (A copy
+that begins with the second line of its own first place, as in three equal lines, takes its second line only.) What
+goes is decided on the given texts, so a line that goes always stays at some earlier place. A blank pair (no line with a word)
+takes nothing, so of three blank lines or more inside a passage the middle ones stay; a line that repeats alone stays, too.
 
-A repeated chunk stays in the document with the smallest doc_id, at its first place there, and goes elsewhere. Blank chunks
-(no line with a word) are never removed.
+Pairs are known by the SHA-256 of their bytes; only digests and places are grouped and joined, as tables, and copies combine before the shuffle.
 
 Nulls and odd input: a null text stays null, with no lines; an empty text has one empty line; null doc_ids come after all
 others in the choice of the first document; rows that share a doc_id count as one document for that choice. Empty input
@@ -15,6 +15,9 @@ gives an empty result. Extra columns pass through untouched,
 but for one named line_dedup, which the result replaces.
 
 Only DataFrame functions are used; array functions cut a text's lines, so a row is never spread over a group.
+
+dedup_runs() is this. dedup() is an older rule that finds less: it cuts a text after the second of two lines wherever a hash of both is 0
+modulo DIVISOR and removes only whole chunks, so passages that share a chunk with other text stay. No query uses it.
 """
 
 from __future__ import annotations
@@ -106,3 +109,76 @@ def dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     cleaned = F.when(F.size(gone) > 0, kept).otherwise(F.col("text"))
     kept_columns = [F.col(f"`{c}`") if c != "text" else cleaned.alias("text") for c in docs.columns]
     return out.select(*kept_columns, info.alias("line_dedup"))
+
+
+def line_pairs(text: Column) -> Column:
+    """array<binary>: the digest of each line with the next one, null for a blank pair."""
+    return let(
+        F.split(text, "\n", -1),
+        lambda lines: F.transform(F.slice(lines, 1, F.size(lines) - 1), lambda x, i: let(F.concat(x, F.lit("\n"), F.get(lines, i + 1)), lambda b: F.when(b.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.sha2(b, 256))))),
+    )
+
+
+def later_lines(hits: Column) -> Column:
+    """Lines (from 0, ascending) that go, of the repeated pairs array<struct<digest, place, own>> of one text."""
+
+    def places(h: Column) -> Column:
+        def lines(x: Column, i: Column) -> Column:
+            before, second = F.get(h, i - 1), F.get(h, i - 2)["digest"].eqNullSafe(x["digest"])
+            again = before["digest"].eqNullSafe(x["digest"])
+            overlap = again & ~second & (before["place"] == x["place"] - 1)
+            at = x["place"]
+            return F.when(x["own"] & ~again, F.array().cast("array<int>")).when(x["own"] & overlap, F.array(at + 1)).otherwise(F.array(at, at + 1))
+
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(h, lines))))
+
+    return let(F.sort_array(hits), places)
+
+
+def spans_of(lines: Column) -> Column:
+    """array<struct<first: int, n_lines: int>> (from 1) of ascending lines (from 0)."""
+
+    def spans(g: Column) -> Column:
+        starts = F.filter(g, lambda x, i: (i == 0) | (F.get(g, i - 1) != x - 1))
+        ends = F.filter(g, lambda x, i: (i == F.size(g) - 1) | (F.get(g, i + 1) != x + 1))
+        return let(ends, lambda e: F.transform(starts, lambda a, i: F.struct((a + 1).alias("first"), (F.get(e, i) - a + 1).alias("n_lines"))))
+
+    return let(lines, spans)
+
+
+def without(text: Column, spans: Column) -> Column:
+    """A text without some spans of its lines."""
+
+    def cut(lines: Column) -> Column:
+        starts = F.concat(F.array(F.lit(1)), F.transform(spans, lambda s: s["first"] + s["n_lines"]))
+        ends = F.concat(F.transform(spans, lambda s: s["first"]), F.array(F.size(lines) + 1))
+        kept = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: s["b"] > s["a"])
+        return F.array_join(F.transform(kept, lambda s: F.array_join(F.slice(lines, s["a"], s["b"] - s["a"]), "\n")), "\n")
+
+    return let(F.split(text, "\n", -1), cut)
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, ...) -> all its columns with `text` cleaned, and a struct `line_dedup` of n_lines, n_removed_lines,
+    n_removed_chunks (unbroken spans of lines) and the removed spans (first line from 1, lines)."""
+    docs = docs.drop("line_dedup", "__removed")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").contains("\n"))
+    # rows of one doc_id are told apart by their texts
+    texts = materialize(slim.select("doc_id", F.unhex(F.sha2("text", 256)).alias("text_digest"), line_pairs(F.col("text")).alias("pairs")), "line-pairs")
+    places = texts.select("doc_id", "text_digest", F.posexplode("pairs").alias("place", "digest")).where("digest is not null")
+    repeated = places.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    hits = places.join(repeated, "digest").select("doc_id", "text_digest", F.struct("digest", "place", F.col("doc_id").eqNullSafe(F.col("first_doc")).alias("own")).alias("hit"))
+    gone = hits.groupBy("doc_id", "text_digest").agg(F.collect_set("hit").alias("hits")).select("doc_id", "text_digest", spans_of(later_lines(F.col("hits"))).alias("spans")).where(F.size("spans") > 0)
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.unhex(F.sha2(F.col("d.text").cast("string"), 256)) == F.col("g.text_digest"))
+    out = docs.alias("d").join(materialize(gone, "line-spans").alias("g"), same, "left").select("d.*", F.col("g.spans").alias("__removed"))
+    removed = F.coalesce("__removed", F.array().cast("array<struct<first:int,n_lines:int>>"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
+    info = F.struct(
+        n_lines.cast("long").alias("n_lines"),
+        F.aggregate(removed, F.lit(0), lambda s, c: s + c["n_lines"]).cast("long").alias("n_removed_lines"),
+        F.size(removed).cast("long").alias("n_removed_chunks"),
+        removed.alias("removed"),
+    )
+    cleaned = F.when(F.col("__removed").isNotNull(), without(F.col("text").cast("string"), F.col("__removed"))).otherwise(F.col("text"))
+    kept_columns = [F.col(f"`{c}`") if c != "text" else cleaned.alias("text") for c in docs.columns]
+    return out.select(*kept_columns, info.alias("line_dedup"))

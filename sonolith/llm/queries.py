@@ -21,7 +21,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = linededup.dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
     return found.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed_lines", "line_dedup.n_removed_chunks", kept.alias("kept_sha256"))
 

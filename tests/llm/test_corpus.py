@@ -178,6 +178,46 @@ def test_line_dedup(spark, rows, docs, empty):
     assert linededup.dedup(empty).count() == 0
 
 
+def test_line_dedup_of_passages(spark, rows, docs, empty):
+    """Every line of a later copy of two lines or more goes, whatever stands around it."""
+    rng = random.Random(8)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(6))
+    planted, texts = [[line() for _ in range(2 + i % 5)] for i in range(40)], []
+    for i in range(160):
+        own = [line() for _ in range(rng.randrange(8))]
+        at = rng.randrange(len(own) + 1)
+        texts.append(own[:at] + planted[i % 40] + own[at:])
+    odd = [["a"] * 4, ["b", "b", "c", "b", "b", "c"], ["", "", "", ""], ["alone"], ["x", "alone", "y"]]
+    many = [(i, "\n".join(t)) for i, t in enumerate(texts + odd)] + [(None, "\n".join(texts[3])), (160, "\n".join(odd[1])), (7, texts[7][0])] + [(1000 + r[0] if r[0] is not None else None, r[1]) for r in rows]
+
+    def first_places(doc, text):
+        return {p: (doc, i) for i, p in reversed(list(enumerate(zip(text.split("\n"), text.split("\n")[1:], strict=False)))) if any(words(x) for x in p)}
+
+    count, first = Counter(), {}
+    for d, t in many:
+        lines = (t or "").split("\n")
+        count.update(p for p in zip(lines, lines[1:], strict=False) if any(words(x) for x in p))
+        for p in first_places(d, t or ""):
+            first[p] = min(first.get(p, math.inf), math.inf if d is None else d)
+    want = Counter()
+    for d, t in many:
+        lines, own, gone = (t or "").split("\n"), first_places(d, t or ""), set()
+        for i, p in enumerate(zip(lines, lines[1:], strict=False)):
+            if count[p] > 1:
+                if first[p] != (math.inf if d is None else d):
+                    gone |= {i, i + 1}
+                elif i > own[p][1]:
+                    gone |= {i + 1} if i == own[p][1] + 1 else {i, i + 1}
+        want[d, None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)] += 1
+    got = linededup.dedup_runs(spark.createDataFrame(many, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["text"], r["line_dedup"]["n_removed_lines"]) for r in got) == want
+    assert all(sum(s["n_lines"] for s in r["line_dedup"]["removed"]) == r["line_dedup"]["n_removed_lines"] for r in got)
+    later = {r["doc_id"]: r["text"].split("\n") for r in got if r["doc_id"] is not None and 40 <= r["doc_id"] < 160}
+    assert all(set(planted[i % 40]).isdisjoint(t) for i, t in later.items())
+    assert linededup.dedup_runs(docs).count() == len(rows)
+    assert linededup.dedup_runs(empty).count() == 0
+
+
 def test_decontamination(spark, rows, docs, empty):
     items = [(0, " ".join(words(rows[7][1])[3:40])), (1, "never seen words in any document at all here"), (2, "one"), (3, None), (4, ""), (5, rows[14][1][:200].upper())]
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("hash", F.lit(1))

@@ -795,3 +795,59 @@ def earlier_siblings(spark: SparkSession, sf: str) -> DataFrame:
 def file_report(spark: SparkSession, sf: str) -> DataFrame:
     files = view(spark, sf, "files").withColumns({"active_ratio": F.col("harmonicity"), "bpm_ratio": F.col("danceable") + 0.5, "tempo_unstable": F.lit(False), "tempo_window_count": F.lit(0)})
     return catalog.report(files, ["key", "content_type"])
+
+
+# over whole tables: the queries of the same names without _whole, and their SQL, take a part of the rows ------------------
+
+
+@query(
+    """select o.file_id, round(o.t, 6) as t, round(max(b.t) filter (where b.t <= o.t), 6) as before, round(min(b.t) filter (where b.t > o.t), 6) as after
+    from onsets o join beats b on b.file_id = o.file_id group by o.file_id, o.t""",
+    "onsets", "beats",
+)
+def asof_beats_whole(spark: SparkSession, sf: str) -> DataFrame:
+    found = intervals.asof(view(spark, sf, "onsets").distinct(), view(spark, sf, "beats"), ["file_id"], "t", "before", "after")
+    return found.select("file_id", r6("t").alias("t"), r6("before").alias("before"), r6("after").alias("after"))
+
+
+@query(
+    """select file_id, round(t, 6) as t, round(n, 6) as nearest from (select o.file_id, o.t, b.t as n, row_number() over (partition by o.file_id, o.t order by abs(b.t - o.t), b.t) as k
+    from (select distinct file_id, t + 0.003e0 as t from onsets) o join beats b on b.file_id = o.file_id) as x where k = 1""",
+    "onsets", "beats",
+)
+def nearest_beat_whole(spark: SparkSession, sf: str) -> DataFrame:
+    onsets = view(spark, sf, "onsets").select("file_id", (F.col("t") + 0.003).alias("t")).distinct()
+    return intervals.nearest(onsets, view(spark, sf, "beats"), ["file_id"], "t").select("file_id", r6("t").alias("t"), r6("nearest").alias("nearest"))
+
+
+@query(
+    """select l_suppkey as k, quantile_cont(l_quantity, 0.5) as mid, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] as upper from lineitem group by 1"""
+)
+def medians_whole(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_list("l_quantity").alias("v"))
+    return rows.select("k", aggregates.median_mid(F.col("v")).alias("mid"), aggregates.median_upper(F.col("v")).alias("upper"))
+
+
+@query("""select p_name as folder, 'world' as field, p_type as value, 'unknown word' as problem from part group by 1, 2, 3""")
+def vocabulary_errors_whole(spark: SparkSession, sf: str) -> DataFrame:
+    tags = table(spark, sf, "part").select(F.col("p_name").alias("folder"), F.lit("world").alias("field"), F.col("p_type").alias("value")).distinct()
+    return predicates.invalid_words(tags).where("problem = 'unknown word'")
+
+
+@query("""select l_suppkey as collection_id, l_partkey as file_id, min(l_linenumber) as seq from lineitem group by 1, 2""")
+def insert_or_ignore_whole(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("collection_id"), F.col("l_partkey").alias("file_id"), F.col("l_linenumber").alias("seq"))
+    first = rows.groupBy("collection_id", "file_id").agg(F.min("seq").alias("seq")).where("file_id % 2 = 0")
+    return dml.insert_or_ignore(first, rows, ["collection_id", "file_id"])
+
+
+@query("""select id, o_orderkey as added_at, path from orders join files on o_custkey = id""", "files")
+def collection_files_whole(spark: SparkSession, sf: str) -> DataFrame:
+    members = table(spark, sf, "orders").select(F.lit(1).alias("collection_id"), F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("added_at"))
+    return catalog.collection_files(members, view(spark, sf, "files"), 1).select("id", "added_at", "path")
+
+
+@query("""select lower(v) as folded, min(v) as value from (select p_name as v from part union all select upper(p_name) from part) as x group by 1""")
+def facet_values_whole(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part")
+    return aggregates.facet_values(part.select(F.col("p_name").alias("value")), part.select(F.upper("p_name").alias("value"))).select(F.lower("value").alias("folded"), "value")

@@ -1,6 +1,6 @@
 """License scans: sparse TF-IDF cosine of texts' lines to license templates, then inheritance from the nearest ancestor directory.
 
-A line (of headers, footers and license files alike: every line with a word of TELLING is scored) is a sparse vector of term counts times the
+A line (of headers, footers and license files alike: every line that can reach COSINE is scored) is a sparse vector of term counts times the
 templates' inverse document frequency; its likeness to a template is the cosine, with words unknown to the templates
 counted in the norm at the highest IDF. A file declares the license of its best line at COSINE or above; ties go to the first name. A file that is
 mostly such a line (SHARE of its words) or is named like a license file speaks for its directory; a file that declares nothing
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonolith.llm.common import materialize, with_defaults
+from sonolith.llm.linededup import let
 
 COSINE, SHARE = 0.6, 0.5
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
@@ -36,7 +37,7 @@ TEMPLATES = {
     "MIT": "released under the mit license",
     "MPL-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
 }
-#: Words of which a line must have one to be scored.
+#: Only the oracle's SQL reads this: it scores lines with one of these words, while the scan scores every line that can reach COSINE.
 TELLING = ["license", "licensed", "licence", "licenced", "licenses", "spdx", "apache", "bsd", "cc", "commons", "gnu", "gpl", "mit", "mozilla", "mpl", "redistribution"]
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -55,15 +56,33 @@ def template_weights(templates: dict[str, str] = TEMPLATES) -> tuple[list[tuple[
     return out, math.log(1 + len(terms)) + 1
 
 
-def telling_lines(text: Column) -> Column:
-    """array<struct<line, body>> of a text's lines, in lower case, that have a telling term."""
-    pattern = r"(^|[^a-z0-9])(" + "|".join(TELLING) + r")([^a-z0-9]|$)"
+def able_lines(text: Column, templates: dict[str, str] = TEMPLATES, cosine: float = COSINE) -> Column:
+    """array<struct<line, body>> of a text's lines, in lower case, but for those that provably stay below the cosine.
+
+    With the unit weights of a template, the cosine is at most the norm of the weights of the terms that a line shares with it, and at
+    most the norm of the line's known terms over the whole line's norm, to whose square each unknown term adds unknown ** 2 at least."""
+    weights, unknown = template_weights(templates)
+    idf = {t: i for _, t, _, i in weights}
+    least = max(cosine - 1e-6, 0.0) ** 2
+    of_term = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
+
+    def able(terms: Column) -> Column:
+        def of_known(known: Column) -> Column:
+            def of_own(own: Column) -> Column:
+                shared = [sum((F.when(F.array_contains(own, t), w * w).otherwise(0.0) for n, t, w, _ in weights if n == name), F.lit(0.0)) for name in templates]
+                square = F.aggregate(own, F.lit(0.0), lambda s, t: s + F.pow(F.size(F.filter(known, lambda y: y == t)) * F.element_at(of_term, t), F.lit(2.0)))
+                return (F.size(own) > 0) & (F.array_max(F.array(*shared)) >= least) & (square * (1 - least) >= least * unknown**2 * (F.size(terms) - F.size(known)))
+
+            return let(F.array_distinct(known), of_own)
+
+        return let(F.filter(terms, lambda t: t.isin(list(idf))), of_known)
+
     lines = F.transform(F.split(F.lower(text), "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("body")))
-    return F.filter(lines, lambda x: x["body"].rlike(pattern))
+    return F.filter(lines, lambda x: let(F.regexp_extract_all(x["body"], F.lit("(" + TERM + ")"), 1), able))
 
 
 def line_scores(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """docs(row, lines) -> row, line (from 0), n_terms, license, score of the best template for each of the lines, as from telling_lines()."""
+    """docs(row, lines) -> row, line (from 0), n_terms, license, score of the best template for each of the lines, as from able_lines()."""
     spark = docs.sparkSession
     weights, unknown = template_weights(templates)
     table = spark.createDataFrame(weights, "license string, term string, weight double, idf double")
@@ -90,8 +109,8 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, cosine: float
     """files(doc_id, path, text) -> doc_id, path, license, score, origin (declared, inherited or none), from_dir."""
     terms = F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")).cast("long")
     rows = with_defaults(files, doc_id="long", path="string", text="string")
-    # one pass over the texts; only telling lines go on
-    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", terms.alias("n_terms"), telling_lines(F.col("text")).alias("lines")), "license-lines")
+    # one pass over the texts; only lines that can reach the cosine go on
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "path", terms.alias("n_terms"), able_lines(F.col("text"), templates, cosine).alias("lines")), "license-lines")
     found = line_scores(rows.where(F.size("lines") > 0).select("row", "lines"), templates).where(F.col("score") >= cosine)
     first = Window.partitionBy("row").orderBy(F.desc("score"), "license", "line")
     declared = found.withColumn("place", F.row_number().over(first)).groupBy("row").agg(

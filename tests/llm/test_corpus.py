@@ -445,6 +445,29 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.scan(files.where("false")).count() == 0
 
 
+def test_license_lines_without_telling_words(spark):
+    """Every line at the cosine or above declares its license, against the cosine of each line with no filter before it."""
+    weights, unknown = licenses.template_weights()
+    idf = {t: i for _, t, _, i in weights}
+
+    def best(line):
+        n = Counter(re.findall(licenses.TERM, line.lower()))
+        norm = math.sqrt(sum((c * idf.get(t, unknown)) ** 2 for t, c in n.items()))
+        found = {name: sum(n[t] * i * w for m, t, w, i in weights if m == name) / norm if n else 0 for name in licenses.TEMPLATES}
+        return min((-round(x, 9), name) for name, x in found.items())
+
+    rng = random.Random(4)
+    lines = ["This Source Code Form is subject to the terms of the", "use in source and binary forms, with or without modification, are permitted", "and use in source and binary forms, with or without", "2.0license apache version under the licensed", "", "the of and to"]
+    for _ in range(600):
+        own = rng.choice(list(licenses.TEMPLATES.values())).split()
+        lines.append(" ".join([w for w in own if rng.random() < 0.6] * rng.choice([1, 1, 2]) + [f"x{rng.randrange(99)}" for _ in range(rng.randrange(6))]))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, None, x) for i, x in enumerate(lines)], "doc_id long, path string, text string")).collect()}
+    want = {i: (name, -x) if -x >= licenses.COSINE else (None, None) for i, (x, name) in enumerate(map(best, lines))}
+    assert {i: r["license"] for i, r in got.items()} == {i: w[0] for i, w in want.items()}
+    assert all(abs(got[i]["score"] - w[1]) < 1e-8 for i, w in want.items() if w[0])
+    assert [want[i][0] for i in range(3)] == ["MPL-2.0", "BSD-3-Clause", "BSD-3-Clause"] and 50 < sum(w[0] is None for w in want.values()) < 550
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 

@@ -32,8 +32,8 @@ def knn(vectors: DataFrame, query: list[float], k: int = 10, exclude: int | None
 
 
 def knn_each(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "v") -> DataFrame:
-    """For each of a few queries(query_id, v) the k nearest others: each Arrow batch keeps its k best for each query by one matrix
-    product, and only those are shuffled. The queries travel with the tasks; their bytes are checked against 64 MB."""
+    """For each of a few queries(query_id, v) the k nearest others: each Arrow batch keeps its k best for each query, ties by id, by one matrix
+    product and exact distances of what its rounding can't tell apart; only those are shuffled. The queries travel with the tasks; their bytes are checked against 64 MB."""
     found = queries.select("query_id", vector_col).toPandas()
     ids = found["query_id"].to_numpy(np.int64)
     wanted = np.stack(found[vector_col].to_numpy()).astype(np.float64) if len(found) else np.zeros((0, 1))
@@ -47,15 +47,20 @@ def knn_each(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str =
                 continue
             own = batch["id"].to_numpy(np.int64)
             table = np.stack(batch["v"].to_numpy()).astype(np.float64)
-            square = norms[:, None] + (table**2).sum(axis=1) - 2 * wanted @ table.T
-            square[ids[:, None] == own[None, :]] = np.inf
-            top = min(k + 8, len(own))
-            near = np.argpartition(square, top - 1, axis=1)[:, :top]
-            q = np.repeat(np.arange(len(ids)), top)
-            flat = near.ravel()
-            exact = np.sqrt(((wanted[q] - table[flat]) ** 2).sum(axis=1))
-            keep = np.isfinite(square[q, flat])
-            yield pd.DataFrame({"query_id": ids[q][keep], "id": own[flat][keep], "distance": exact[keep]})
+            sizes = (table**2).sum(axis=1)
+            square = norms[:, None] + sizes - 2 * wanted @ table.T
+            square[(ids[:, None] == own[None, :]) | ~np.isfinite(square)] = np.inf
+            top = min(k, len(own))
+            last = np.partition(square, top - 1, axis=1)[:, top - 1]
+            # the product's rounding moves a square by less than this, so no vector beyond it can be among the k best
+            margin = 16 * (table.shape[1] + 4) * np.finfo(np.float64).eps * (norms + sizes.max(where=np.isfinite(sizes), initial=0.0))
+            found = []
+            for q in range(len(ids)):
+                near = np.flatnonzero((square[q] <= last[q] + margin[q]) & np.isfinite(square[q]))
+                exact = np.sqrt(((wanted[q] - table[near]) ** 2).sum(axis=1))
+                best = np.lexsort((own[near], exact))[:k]
+                found.append((np.repeat(ids[q], len(best)), own[near][best], exact[best]))
+            yield pd.DataFrame(dict(zip(["query_id", "id", "distance"], map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     rows = vectors.where(F.size(vector_col) == wanted.shape[1]).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     best = Window.partitionBy("query_id").orderBy("distance", "id")

@@ -484,3 +484,21 @@ def test_kept_takes_and_groups(spark):
     assert out["/a"]["human"] == {"genre": "x", "generated": "{}"} and out["/b"]["human"] == {"generated": "{}"} and out["/a"]["sha256"] == "n"
     rows = spark.createDataFrame([(1, "/d", 284, None), (2, "/d", 284, "old"), (3, "/d", 285, None)], "id long, dir string, length long, group_id string")
     assert {r["id"]: r["group_id"] for r in catalog.joined_group(rows).collect()} == {1: "old", 2: "old"}
+
+
+def test_knn_each_takes_the_smallest_ids_of_copies(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(500, 16)).astype(np.float32).astype(np.float64)
+    vectors[rng.choice(500, 60, replace=False)] = vectors[0] + 0.01
+    vectors[499] = np.nan
+    table = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rng.shuffle(table)
+    df = spark.createDataFrame([(int(i), v) for i, v in table], "id long, v array<double>").repartition(2)
+    queries = df.where("id in (3, 77, 140)").withColumnRenamed("id", "query_id").unionByName(spark.createDataFrame([(-1, vectors[0].tolist())], "query_id long, v array<double>"))
+    got = {}
+    for r in topk.knn_each(df, queries, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    wanted = {r["query_id"]: np.array(r["v"]) for r in queries.collect()}
+    for q, v in wanted.items():
+        distance = np.sqrt(((vectors - v) ** 2).sum(axis=1))
+        assert got[q] == [i for _, i in sorted((d, i) for i, d in enumerate(distance) if i != q and not math.isnan(d))][:5]

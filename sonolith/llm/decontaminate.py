@@ -9,7 +9,8 @@ exact.
 
 The items' shingles are broadcast if their measured size is below BROADCAST_BYTES, else joined by a shuffle.
 
-Words are lower-cased by Unicode rules. Fewer than five words make one shingle of the whole sequence, for items and documents alike. Nulls
+Words are lower-cased by Unicode rules. An item of fewer than five words is one shingle of its own length, and documents probe with their
+shingles of each such length (1 to 4) that items have, so it is found inside longer documents, too. Nulls
 and odd input: null, empty and blank texts hold nothing and are held by nothing; items or documents that share an id are
 told apart by their text only where the counts differ (a repeated row adds nothing, for shingles are counted once by
 id). Empty tables give an empty result. Extra columns are not read.
@@ -17,6 +18,8 @@ id). Empty tables give an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,29 +40,36 @@ def shingle_hash(tokens: Column, at: Column, k: int = SHINGLE) -> Column:
 
 
 def item_shingles(items: DataFrame, k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """items(item_id, text) -> item_id, n_shingles, hash, shingle, in_sketch: a row for each distinct shingle of an item."""
+    """items(item_id, text) -> item_id, n_shingles, hash, shingle, length (words), in_sketch: a row for each distinct shingle of an item."""
     tokens = words(F.lower("text"))
     every = with_defaults(items, item_id="long", text="string").withColumn("tokens", tokens)
     rows = every.select("item_id", F.explode(F.transform(places(F.col("tokens"), k), lambda i: F.slice("tokens", i, k))).alias("words")).distinct()
-    rows = rows.select("item_id", F.xxhash64("words").alias("hash"), F.array_join("words", " ").alias("shingle"))
+    rows = rows.select("item_id", F.xxhash64("words").alias("hash"), F.array_join("words", " ").alias("shingle"), F.size("words").alias("length"))
     sizes = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_shingles"), F.sort_array(F.collect_list("hash")).alias("hashes"))
     largest = F.pow(F.lit(2), F.ceil(F.log2(F.col("n_shingles").cast("double"))))
     sketch = (F.floor((1 - containment) * largest + 1e-9) + 1).cast("int")
     bound = F.element_at("hashes", F.least(sketch, F.size("hashes")))
     sizes = sizes.select(F.col("item_id").alias("of_item"), "n_shingles", bound.alias("bound"))
-    return rows.join(sizes, F.col("item_id").eqNullSafe(F.col("of_item"))).select("item_id", "n_shingles", "hash", "shingle", (F.col("hash") <= F.col("bound")).alias("in_sketch"))
+    return rows.join(sizes, F.col("item_id").eqNullSafe(F.col("of_item"))).select("item_id", "n_shingles", "hash", "shingle", "length", (F.col("hash") <= F.col("bound")).alias("in_sketch"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) -> doc_id, item_id, n_shingles, n_shared, containment, one row for each item found in a document."""
     probes = materialize(item_shingles(items, k, containment), "item-shingles")
-    size = probes.agg(F.sum(F.length("shingle") + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
+    measured = probes.agg(F.sum(F.length("shingle") + 64), F.collect_set("length")).first()
+    lengths = sorted(measured[1]) or [k]
+    probes = probes.drop("length")
+    if (measured[0] or 0) <= BROADCAST_BYTES:
         probes = F.broadcast(probes)
     tokens = with_defaults(docs, doc_id="long", text="string").select("doc_id", words(F.lower("text")).alias("tokens"))
-    at = F.transform(places(F.col("tokens"), k), lambda i: shingle_hash(F.col("tokens"), i, k))
-    probing = tokens.select("doc_id", "tokens", F.posexplode(at).alias("pos", "hash"))
-    hits = probing.join(probes, "hash").where(F.array_join(F.slice("tokens", F.col("pos") + 1, k), " ") == F.col("shingle"))
+
+    def hits_of(length: int) -> DataFrame:
+        long_enough = F.when(F.size("tokens") >= length, places(F.col("tokens"), length)).otherwise(F.array().cast("array<int>"))
+        at = F.transform(long_enough, lambda i: shingle_hash(F.col("tokens"), i, length))
+        probing = tokens.select("doc_id", "tokens", F.posexplode(at).alias("pos", "hash"))
+        return probing.join(probes, "hash").where(F.array_join(F.slice("tokens", F.col("pos") + 1, length), " ") == F.col("shingle"))
+
+    hits = reduce(DataFrame.unionByName, map(hits_of, lengths))
     shared = hits.select("doc_id", "item_id", "n_shingles", "shingle", "in_sketch").groupBy("doc_id", "item_id", "shingle").agg(F.max("n_shingles").alias("n_shingles"), F.max("in_sketch").alias("in_sketch"))
     pairs = shared.groupBy("doc_id", "item_id").agg(F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n_shared"), F.max("in_sketch").alias("candidate"))
     return pairs.where(F.col("candidate") & (F.col("n_shared") >= containment * F.col("n_shingles"))).select(

@@ -240,6 +240,13 @@ def test_decontamination(spark, rows, docs, empty):
     assert kept == {r[0] for r in rows} - {d for d, _ in got}
 
 
+def test_short_items_inside_long_documents(spark):
+    items = [(0, "Blue  moon"), (1, "one"), (2, "a b c d"), (3, "w1 w2 w3 w4 w5 w6"), (4, "c d a"), (5, "")]
+    texts = ["x blue\nMoon y z u v", "blue x moon y z u v", "blue moon", "none", "p one", "a b c d", "a b c d a b c d", "w0 w1 w2 w3 w4 w5 w6 one", "a b c", None, ""]
+    got = {(r["doc_id"], r["item_id"], r["n_shingles"], r["n_shared"]) for r in decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 0, 1, 1), (2, 0, 1, 1), (4, 1, 1, 1), (5, 2, 1, 1), (6, 2, 1, 1), (6, 4, 1, 1), (7, 1, 1, 1), (7, 3, 2, 2)}
+
+
 def test_decontamination_by_shuffle(docs, spark, monkeypatch):
     table = spark.createDataFrame([(0, "the of and to in that is with")], "item_id long, text string")
     near = decontaminate.contaminated(docs, table).collect()

@@ -162,14 +162,15 @@ def chain_depths(blocks: DataFrame, guard: int = 256) -> DataFrame:
 
 
 def would_cycle(chains: DataFrame, child: int, parent: int) -> bool:
-    """True if making `child` follow `parent` closes a ring: the parent is the child or follows it. chains(id, follows)."""
+    """True if making `child` follow `parent` closes a ring: the parent is the child or follows it. chains(id, follows); one lookup by id a step, up to the guard of 256."""
     at, seen = parent, set()
-    links = {r["id"]: r["follows"] for r in chains.where("follows is not null").select("id", "follows").limit(100_000).collect()}
+    links = chains.where("follows is not null").select("id", "follows")
     while at is not None and at not in seen and len(seen) <= 256:
         if at == child:
             return True
         seen.add(at)
-        at = links.get(at)
+        found = links.where(F.col("id") == at).first()
+        at = found["follows"] if found else None
     return False
 
 

@@ -29,9 +29,16 @@ def parse_taxonomy(text: str) -> list[tuple[str, str, str]]:
     return rows
 
 
+#: Lines of a taxonomy, which is gathered and broadcast.
+MOST_LINES = 100_000
+
+
 def taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """model, raw, canonical of a taxonomy file. A raw label that has two canonical ones is an error."""
-    rows = parse_taxonomy("\n".join(r["value"] for r in spark.read.text(path).limit(100_000).collect()))
+    """model, raw, canonical of a taxonomy file. A raw label that has two canonical ones is an error, and so are more than MOST_LINES lines."""
+    lines = spark.read.text(path).take(MOST_LINES + 1)
+    if len(lines) > MOST_LINES:
+        raise ValueError(f"a taxonomy has {MOST_LINES} lines at most")
+    rows = parse_taxonomy("\n".join(r["value"] for r in lines))
     if len({r[:2] for r in rows}) < len(rows):
         raise ValueError("a raw label is mapped twice")
     return spark.createDataFrame(rows, "model string, raw string, canonical string")

@@ -502,3 +502,13 @@ def test_knn_each_takes_the_smallest_ids_of_copies(spark):
     for q, v in wanted.items():
         distance = np.sqrt(((vectors - v) ** 2).sum(axis=1))
         assert got[q] == [i for _, i in sorted((d, i) for i, d in enumerate(distance) if i != q and not math.isnan(d))][:5]
+
+
+def test_rings_and_taxonomies_of_large_tables(spark, tmp_path):
+    links = spark.range(150_000).select("id", F.when(F.col("id") % 2 == 1, F.col("id") - 1).alias("follows"))
+    late = links.unionByName(spark.createDataFrame([(200_000, 200_001), (200_001, 200_002)], "id long, follows long"))
+    late = late.unionByName(spark.range(300_000, 500_000).select("id", (F.col("id") + 500_000).alias("follows"))).orderBy(F.abs(F.col("id") - 200_001).desc())
+    assert library.would_cycle(late, 200_002, 200_000) and not library.would_cycle(late, 200_000, 200_002)
+    (tmp_path / "t.yaml").write_text("m:\n" + "".join(f"  raw{i}: name{i}\n" for i in range(100_001)))
+    with pytest.raises(ValueError, match="lines"):
+        documents.taxonomy(spark, str(tmp_path / "t.yaml"))

@@ -5,13 +5,18 @@ documents of a source are put in an order by size class, cell and size; the pref
 offset for the source gives each document one copy for every integer that the sum crosses in it. Neighbours in the order
 are of like size, so the words taken stay near the target.
 
-The prefix sum is rank * rate, and the rank comes in two levels: rows are numbered inside a cell (source, size class,
-bucket), and cells, of which a source has about the square root of its rows, are summed over the source. No task gets all
-rows of a hot source. The table of sources, one row for each, is the only thing that is ranked as a whole.
+The prefix sum is rank * rate, and the rank comes in three levels: rows are numbered inside a cell (source, size class,
+bucket), cells (about the square root of a source's rows) are summed inside a size class, and size classes, a few dozen of
+a source, over the source. No task gets all rows or cells of a hot source. The table of sources, one row for each, is the only thing that
+is ranked as a whole.
+
+How near the words taken come to the target: the draw is over documents, one offset a source, so a size class is off by one document at
+most, and a source by the sum over its size classes of their largest documents' sizes; the largest document alone can be off by
+its size (sf0.01: 18 of 20 sources within 15 %, one with 6,248 of 7,094 words, one, where one document has 5,184 words, with 9,985).
 
 Nulls and odd input: a null text has size 0 and is never taken; a null source is a source of its own, after all others; rows
 that share a doc_id are numbered apart as far as their sizes differ, and repeated rows each count as a document; a null
-doc_id is bucketed as 0. Empty input gives an empty result.
+doc_id is bucketed as 0; a very long text is counted in its row and only its size travels. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,6 +73,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
     return mix_sizes(materialize(rows, "mix-sizes"), weights, cap, seed)
 
 
+def rows_of_classes(cell: DataFrame) -> DataFrame:
+    return cell.groupBy("source", "size_class").agg(F.count(F.lit(1)).alias("in_class"))
+
+
 def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """As mix(), from rows(doc_id, source, size)."""
     stats = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("source_size"))
@@ -83,8 +92,12 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int =
     inside = Window.partitionBy("source", "size_class", "bucket").orderBy("size", F.col("doc_id").asc_nulls_first())
     numbered = cell.withColumn("at", F.row_number().over(inside))
     cells = cell.groupBy("source", "size_class", "bucket").agg(F.count(F.lit(1)).alias("in_cell"))
-    ahead = Window.partitionBy("source").orderBy("size_class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("source", "size_class", "bucket", F.coalesce(F.sum("in_cell").over(ahead), F.lit(0)).alias("skip"))
+    # cells before a cell: those of smaller size classes (a few dozen sums a source), then those of its own class
+    before = Window.partitionBy("source").orderBy("size_class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = rows_of_classes(cell).select(F.col("source").alias("of_source"), F.col("size_class").alias("of_class"), F.coalesce(F.sum("in_class").over(before), F.lit(0)).alias("classes_before"))
+    ahead = Window.partitionBy("source", "size_class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inner = cells.select("source", "size_class", "bucket", F.coalesce(F.sum("in_cell").over(ahead), F.lit(0)).alias("cells_before"))
+    starts = inner.join(classes, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size_class") == F.col("of_class"))).select("source", "size_class", "bucket", (F.col("classes_before") + F.col("cells_before")).alias("skip"))
     ranked = (
         numbered.alias("n")
         .join(starts.alias("c"), F.col("n.source").eqNullSafe(F.col("c.source")) & (F.col("n.size_class") == F.col("c.size_class")) & (F.col("n.bucket") == F.col("c.bucket")))

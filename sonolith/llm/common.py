@@ -21,9 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session without one (tests) gets a temporary folder."""
+    """The folder that driver and executors share. Only a local session without one (tests) gets a temporary folder; a
+    cluster without one is refused, because executors would write to disks of their own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='sonolith-')}")
         shared = _own[0]
@@ -38,6 +42,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the scratch table that materialize() gave, when what was made from it has been written."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if "/sonolith/" in folder.toString():
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def words(text: Column) -> Column:
     """The words of a text, an empty array for null, empty and blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

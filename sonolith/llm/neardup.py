@@ -8,13 +8,15 @@
    prefix. Only prefixes are merged; the long lists of frequent values are skipped, and looked up by comparing signatures.
 3. Short lists (SHORT nodes at most) give all their pairs; those with MATCHES collisions or more are confirmed on full sets.
    Longer lists are never multiplied out. Each names its most typical node (most shared coordinates) as leader, and every
-   member is compared with the leader on full sets, which gives a link or none, and the member's difference from the leader.
+   member's collisions with the leader are counted, and the two compared on full sets, which gives a link (MATCHES collisions and the
+   similarity) or none, and the member's difference from the leader.
 4. Members linked with the leader are one component. What remains are links with a member s that isn't. With d the difference of
    two sets and q = (1 - J) / (1 + J), a link of s and x means d(s, x) <= q(|s| + |x|), while d(s, leader) > q(|s| + |leader|). As
    d(s, x) = d(s) + d(x) - 2 |common differences|, the two must share more than half (but for sizes) of x's differences from the leader, and,
    taking x as the one with fewer, all but q(|s| + |x|) / 2 of them. So s and x meet in a prefix of x's differences, rarest first; what the
    whole list has in common is no difference, and the leader's own peculiarities come last. Pairs of different components that
-   meet there, with enough differences to come, are confirmed on full sets. No list, however long, is emitted as all its pairs, and no link is lost.
+      meet there, with enough differences to come and MATCHES collisions, are confirmed on full sets. So one threshold of collisions decides in
+   lists of every length; no list, however long, is emitted as all its pairs.
 
 Components come from minimum labels with pointer jumping, all in tables; nothing of the graph goes to the driver.
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import materialize, with_defaults
+from sonolith.llm.common import discard, materialize, with_defaults
 from sonolith.llm.textvec import Piece, mix, pieces, stream
 
 COORDINATES, MATCHES = 64, 38
@@ -101,6 +103,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         step = labels.join(near, labels["node"] == near["at"]).select("node", "label", F.least("label", "near").alias("next"))
         step = materialize(step.join(jump, step["next"] == jump["via"], "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")), "labels")
+        discard(labels)
         labels = step.select("node", F.col("next").alias("label"))
         if step.where("label != next").isEmpty():
             return labels
@@ -130,10 +133,11 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY) -> D
     wanted = materialize(nodes.join(posts.select("node").distinct(), "node", "left_semi"), "candidates")
     full = materialize(shingle_sets(docs, wanted.select("node", "doc_id", "mark1", "mark2"), shingle), "shingle-sets")
     links = confirmed(colliding(short_pairs(posts), wanted, similarity), full, similarity)
-    led = materialize(against_leaders(posts, full, similarity), "against-leaders")
+    led = materialize(against_leaders(posts, wanted, full, similarity), "against-leaders")
     links = materialize(links.union(led.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))), "confirmed")
     labels = components(links)
-    rest = materialize(confirmed(far_pairs(led, labels, similarity), full, similarity), "far-links")
+    far = materialize(far_pairs(led, labels, similarity), "far-pairs")
+    rest = materialize(confirmed(colliding(far, wanted, similarity), full, similarity), "far-links")
     if not rest.isEmpty():
         labels = components(links.union(rest))
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -158,18 +162,20 @@ def colliding(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     return sized.where((100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (F.size(F.array_intersect("ka", "kb")) >= MATCHES)).select("a", "b")
 
 
-def against_leaders(posts: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
-    """Members of long lists against their leaders: node, leader, n, leader_n, linked, differences."""
+def against_leaders(posts: DataFrame, nodes: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """Members of long lists against their leaders: node, leader, n, leader_n, linked (by collisions and full sets), differences."""
     edges = posts.where((F.col("n") > SHORT) & (F.col("node") != F.col("leader"))).select("node", "leader").distinct()
-    heads = full.select(F.col("node").alias("leader"), F.col("shingles").alias("leader_set"))
-    both = edges.join(full, "node").join(heads, "leader")
+    sides = full.join(nodes.select("node", "signature"), "node")
+    heads = sides.select(F.col("node").alias("leader"), F.col("shingles").alias("leader_set"), F.col("signature").alias("leader_signature"))
+    both = edges.join(sides, "node").join(heads, "leader")
+    collisions = F.size(F.array_intersect("signature", "leader_signature"))
     shared = F.size(F.array_intersect("shingles", "leader_set"))
     return both.select(
         "node",
         "leader",
         F.size("shingles").alias("n"),
         F.size("leader_set").alias("leader_n"),
-        (100 * shared >= similarity * (F.size("shingles") + F.size("leader_set") - shared)).alias("linked"),
+        ((collisions >= MATCHES) & (100 * shared >= similarity * (F.size("shingles") + F.size("leader_set") - shared))).alias("linked"),
         F.concat(F.array_except("shingles", "leader_set"), F.array_except("leader_set", "shingles")).alias("differences"),
     )
 

@@ -11,8 +11,9 @@ All words of a piece of the input form one chain whose transition at a document'
 is cut into blocks: transfer matrices of all blocks at once, one pass over the blocks, then all positions of all blocks
 at once. That is exact for texts of any length.
 
-Fitting takes a bounded sample: at most about SAMPLE documents of each language, chosen by a hash of the id, and of each a
-window of at most WINDOW_CHARS characters at a hashed place. Prediction reads whole texts.
+Fitting takes a bounded sample: about SAMPLE documents of each language, twice as many at most, chosen by a hash of id and text, and of each a
+window of at most WINDOW_CHARS characters at a hashed place; more than MOST_LABELS languages are refused. Prediction reads whole texts; a
+very long one is held whole by its task, with about 40 bytes of working arrays for each of its bytes.
 
 Nulls and odd input: a null text or one without a letter gives `und`, score 0; null and repeated doc_ids come out row for row;
 without a labelled document every text is `und`. Empty input gives an empty result. Extra columns are not read.
@@ -25,13 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonolith.llm.common import with_defaults
 from sonolith.llm.textvec import _BYTE, Piece, pieces, stream
 
 SAMPLE, WINDOW_CHARS = 300, 3000
+MOST_LABELS = 500
 BUCKETS = 1 << 18
 EPOCHS, SEQUENCE, BATCH, RATE = 3, 64, 48, 0.15
 UNDETERMINED = "und"
@@ -205,15 +207,21 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, window: int = WINDOW_CHARS) -> Model:
-    """Fits on a sample of labelled(doc_id, text, lang): about `sample` documents of each language, chosen by a hash of the id."""
+    """Fits on a sample of labelled(doc_id, text, lang): about `sample` documents of each language, twice as many at most, chosen by a hash of id and text."""
     rows = with_defaults(labelled, doc_id="long", text="string", lang="string").where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LABELS + 1).collect()}
     if not counts:
         return train([], [])
-    part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20))
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages: the table of weights has a column for each")
+    by_hash = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    part = F.pmod(by_hash, F.lit(1 << 20))
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1 << 20, int(sample / n * (1 << 20)) + 1)))])
-    place = F.pmod(F.xxhash64(F.lit("window"), "doc_id"), F.greatest(F.length("text") - window, F.lit(0)) + 1)
-    picked = rows.where(part < F.element_at(share, F.col("lang"))).select("doc_id", "lang", F.substring("text", (place + 1).cast("int"), F.lit(window)).alias("text"))
+    place = F.pmod(F.xxhash64(F.lit("window"), "doc_id", "text"), F.greatest(F.length("text") - window, F.lit(0)) + 1)
+    # rows that repeat id and text have one hash, so a language's rows are also numbered; Spark cuts them before the shuffle
+    order = Window.partitionBy("lang").orderBy("of_hash", "doc_id")
+    picked = rows.where(part < F.element_at(share, F.col("lang"))).select("doc_id", "lang", by_hash.alias("of_hash"), F.substring("text", (place + 1).cast("int"), F.lit(window)).alias("text"))
+    picked = picked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * sample)
     found = sorted((r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in picked.collect())
     return train([t for _, _, t in found], [x for x, _, _ in found])
 

@@ -94,6 +94,33 @@ def test_near_groups(spark, rows, docs, empty, k):
     assert neardup.groups(empty, shingle=k).count() == 0
 
 
+def test_recall_near_the_threshold(spark):
+    """Many pairs at a similarity from 0.80 to 0.83, alone and as families with a common leader: nearly all links must be found."""
+    rng = random.Random(11)
+    texts, want = [], []
+
+    def variant(base, changed):
+        """The words with the last ones changed: each takes one shingle."""
+        return base[: len(base) - changed] + [f"v{rng.randrange(10**9)}" for _ in range(changed)]
+
+    for i in range(400):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        shingles = 100
+        changed = 10 + (i % 2)  # 2 * c / (1 - c) ... : 90 of 110 shared at 10, 89 of 111 at 11
+        shared = shingles - changed
+        assert shared / (2 * shingles - shared) >= 0.8
+        want.append((len(texts), len(texts) + 1))
+        texts += [base, variant(base, changed)]
+    base = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+    first = len(texts)
+    texts += [variant(base, 10) for _ in range(60)] + [base]
+    want += [(j, len(texts) - 1) for j in range(first, len(texts) - 1)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a] == got[b] for a, b in want)
+    assert found >= 0.99 * len(want)
+
+
 def test_near_groups_of_a_large_family(spark):
     """Hundreds of near copies of one text: chains of small edits must end in one group, texts that only share a passage must not."""
     rng = random.Random(5)
@@ -247,6 +274,24 @@ def test_short_items_inside_long_documents(spark):
     assert got == {(0, 0, 1, 1), (2, 0, 1, 1), (4, 1, 1, 1), (5, 2, 1, 1), (6, 2, 1, 1), (6, 4, 1, 1), (7, 1, 1, 1), (7, 3, 2, 2)}
 
 
+def test_items_are_found_through_their_sketches_only(spark, monkeypatch):
+    """Without its sketch an item isn't found; a sketch is a small part of a long item, and never misses at the threshold."""
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30 + i))) for i in range(12)]
+    texts = []
+    for i, t in items:
+        w = t.split()
+        held = w[: -(-len(w) * 9 // 10)]
+        texts.append((i, " ".join([f"x{rng.randrange(10**6)}" for _ in range(3000)] + held + ["y"] * 2000)))
+    docs, table = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    sizes = {r["item_id"]: (r["n"], r["k"]) for r in decontaminate.item_shingles(table).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_sketch").alias("k")).collect()}
+    assert all(k <= 0.45 * n for n, k in sizes.values())
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, table).collect()} == {(i, i) for i, _ in items}
+    own = decontaminate.item_shingles
+    monkeypatch.setattr(decontaminate, "item_shingles", lambda *a: own(*a).withColumn("in_sketch", F.col("in_sketch") & (F.col("item_id") != 4)))
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, table).collect()} == {(i, i) for i, _ in items if i != 4}
+
+
 def test_decontamination_by_shuffle(docs, spark, monkeypatch):
     table = spark.createDataFrame([(0, "the of and to in that is with")], "item_id long, text string")
     near = decontaminate.contaminated(docs, table).collect()
@@ -372,6 +417,19 @@ def test_language_id(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in langid.languages(unlabelled).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark):
+    """A million rows of one id would all share a hash of the id: the sample is numbered, too."""
+    rows = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the of and to in").alias("text"), F.lit("en").alias("lang"))
+    seen = []
+    own = langid.train
+    try:
+        langid.train = lambda texts, langs, **k: seen.append(len(texts)) or own(texts[:3], langs[:3])
+        langid.fit(rows, sample=20)
+    finally:
+        langid.train = own
+    assert seen[0] <= 40
+
+
 def test_chain_by_blocks_is_exact():
     rng = np.random.default_rng(0)
     model = langid.Model(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))

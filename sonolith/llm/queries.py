@@ -27,10 +27,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files at source/number of the hundred/id."""
+    """Documents as files: source/thousand/hundred/id.txt, the first of a hundred named LICENSE, the first of a thousand one directory above."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+    at = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    under = F.concat_ws("/", F.coalesce("source", F.lit("none")), at(1000))
+    path = F.when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", under, F.lit("LICENSE"))).when(F.col("doc_id") % 100 == 0, F.concat_ws("/", under, at(100), F.lit("LICENSE")))
+    path = path.otherwise(F.concat_ws("/", under, at(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    return licenses.scan(docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,24 +76,34 @@ def _shingles(rows: str, key: str, k: int) -> str:
 
 
 def _license_sql() -> str:
+    """Scores every unit, without any bound, and walks all ancestors."""
     weights, unknown = licenses.template_weights()
-    rows = ", ".join(f"('{n}', '{t}', {w!r}::double, {i!r}::double)" for n, t, w, i in weights)
-    telling = "|".join(licenses.TELLING)
-    return f"""with tw(license, term, weight, idf) as (values {rows}), idf as (select term, max(idf) as idf from tw group by 1),
-        f as (select doc_id, coalesce(source, 'none') || '/' || cast(floor(doc_id / 100) as bigint) || '/' || doc_id || '.txt' as path, text from documents),
-        a as (select doc_id, string_split(lower(text), chr(10)) as ls from f), l as (select doc_id, unnest(ls) as body, unnest(generate_series(1, len(ls))) as line from a),
-        c as (select doc_id, line, regexp_extract_all(body, '[a-z0-9]+(?:\\.[0-9]+)*') as terms from l where regexp_matches(body, '(^|[^a-z0-9])({telling})([^a-z0-9]|$)')),
-        t as (select doc_id, line, len(terms) as n_terms, unnest(terms) as term from c), k as (select doc_id, line, n_terms, term, count(*) as n from t group by all),
-        w as (select k.*, n * coalesce(idf.idf, {unknown!r}::double) as w from k left join idf on idf.term = k.term), nrm as (select doc_id, line, sqrt(sum(w * w)) as norm from w group by 1, 2),
-        cs as (select w.doc_id, w.line, w.n_terms, tw.license, round(sum(w.w * tw.weight) / max(norm), 9) as score from w join tw on tw.term = w.term join nrm on nrm.doc_id = w.doc_id and nrm.line = w.line group by 1, 2, 3, 4),
-        b as (select *, row_number() over (partition by doc_id, line order by score desc, license) as p from cs),
-        d as (select *, row_number() over (partition by doc_id order by score desc, license, line) as q from b where p = 1 and score >= {licenses.COSINE}),
-        o as (select doc_id, max(case when q = 1 then license end) as license, max(score) as score, sum(n_terms) as notice from d group by 1),
-        own as (select f.doc_id, path, license, score, license is not null and notice >= {licenses.SHARE} * len(regexp_split_to_array(trim(coalesce(text, '')), '\\s+')) as speaks, regexp_replace(path, '/[^/]*$', '') as dir from f left join o on o.doc_id = f.doc_id),
-        sp as (select dir, license, score, row_number() over (partition by dir order by score desc, path, doc_id) as r from own where speaks)
-        select own.doc_id, path, coalesce(own.license, sp.license) as license, coalesce(own.score, sp.score) as score,
-        case when own.license is not null then 'declared' when sp.license is not null then 'inherited' else 'none' end as origin, case when own.license is null then sp.dir end as from_dir
-        from own left join sp on sp.dir = own.dir and r = 1 and own.license is null"""
+    rows = ", ".join(f"({f}, '{n}', '{t}', {w!r}::double, {i!r}::double)" for f, n, t, w, i in weights)
+    islands = lambda kind, inside: f"""select doc_id, '{kind}' as kind, min(line) as first, count(*) as n_lines, flatten(list(terms order by line)) as terms
+        from (select *, line - row_number() over (partition by doc_id order by line) as g from l where {inside}) group by doc_id, g having count(*) > 1"""
+    named = f"regexp_matches(path, '{licenses.LICENSE_FILE}')"
+    return f"""with tw(form, license, term, weight, idf) as (values {rows}), idf as (select term, max(idf) as idf from tw group by 1),
+        p as (select doc_id, text, coalesce(source, 'none') || '/' || cast(floor(doc_id / 1000) as bigint) as under, cast(floor(doc_id / 100) as bigint)::varchar as h from documents),
+        f as (select doc_id, text, under || case when doc_id % 1000 = 0 then '/LICENSE' when doc_id % 100 = 0 then '/' || h || '/LICENSE' else '/' || h || '/' || doc_id || '.txt' end as path from p),
+        a as (select doc_id, string_split(lower(coalesce(text, '')), chr(10)) as ls from f), x as (select doc_id, unnest(ls) as body, unnest(generate_series(0, len(ls) - 1)) as line from a),
+        l as (select doc_id, line, regexp_extract_all(body, '{licenses.TERM}') as terms, regexp_matches(body, '{licenses.COMMENT}') as comment from x),
+        u as (select doc_id, 'line' as kind, line as first, 1 as n_lines, terms from l union all {islands("paragraph", "len(terms) > 0")} union all {islands("comment", "comment")}
+            union all select l.doc_id, 'file', 0, count(*), flatten(list(terms order by line)) from l join f on f.doc_id = l.doc_id where {named} group by 1),
+        t as (select doc_id, kind, first, len(terms) as n_terms, unnest(terms) as term from u), k as (select doc_id, kind, first, n_terms, term, count(*) as n from t group by all),
+        w as (select k.*, (1 + ln(n)) * coalesce(idf.idf, {unknown!r}::double) as w from k left join idf on idf.term = k.term), nrm as (select doc_id, kind, first, sqrt(sum(w * w)) as norm from w group by 1, 2, 3),
+        cs as (select w.doc_id, w.kind, w.first, w.n_terms, form, license, round(sum(w.w * tw.weight) / max(norm), 9) as score from w join tw on tw.term = w.term join nrm on nrm.doc_id = w.doc_id and nrm.kind = w.kind and nrm.first = w.first group by 1, 2, 3, 4, 5, 6),
+        b as (select doc_id, kind, first, n_terms, max(score) as score, arg_min(license, (-score, license)) as license from cs group by 1, 2, 3, 4 having max(score) >= {licenses.COSINE}),
+        bk as (select doc_id, kind, sum(n_terms) as terms from b group by 1, 2), nt as (select doc_id, max(terms) as notice from bk group by 1),
+        o as (select doc_id, arg_min(license, (-score, license)) as license, max(score) as score from b group by 1),
+        own as (select f.doc_id, path, o.license, o.score, o.license is not null and (notice >= {licenses.SHARE} * len(regexp_split_to_array(trim(coalesce(text, '')), '\\s+')) or {named}) as speaks,
+            regexp_replace(path, '/[^/]*$', '') as dir from f left join o on o.doc_id = f.doc_id left join nt on nt.doc_id = f.doc_id),
+        sp as (select dir, arg_min(license, (-score, path, doc_id)) as license, max(score) as score from own where speaks group by 1),
+        up as (select dir, 0 as n, dir as anc from (select distinct dir from own) union all select dir, n, array_to_string(string_split(dir, '/')[1:len(string_split(dir, '/')) - n], '/')
+            from (select distinct dir, unnest(generate_series(1, len(string_split(dir, '/')))) as n from own)),
+        near as (select up.dir, arg_min(sp.license, n) as license, arg_min(sp.score, n) as score, arg_min(anc, n) as anc from up join sp on sp.dir = anc group by 1)
+        select own.doc_id, path, coalesce(own.license, near.license) as license, coalesce(own.score, near.score) as score,
+        case when own.license is not null then 'declared' when near.license is not null then 'inherited' else 'none' end as origin, case when own.license is null then near.anc end as from_dir
+        from own left join near on near.dir = own.dir and own.license is null"""
 
 
 ORACLES: dict[str, str] = {

@@ -510,27 +510,83 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.scan(files.where("false")).count() == 0
 
 
-def test_license_lines_without_telling_words(spark):
-    """Every line at the cosine or above declares its license, against the cosine of each line with no filter before it."""
-    weights, unknown = licenses.template_weights()
-    idf = {t: i for _, t, _, i in weights}
-
-    def best(line):
-        n = Counter(re.findall(licenses.TERM, line.lower()))
-        norm = math.sqrt(sum((c * idf.get(t, unknown)) ** 2 for t, c in n.items()))
-        found = {name: sum(n[t] * i * w for m, t, w, i in weights if m == name) / norm if n else 0 for name in licenses.TEMPLATES}
-        return min((-round(x, 9), name) for name, x in found.items())
-
+def units_of(text, path):
+    """Plain version: terms of each line, paragraph, comment block and license file."""
+    lines = (text or "").lower().split("\n")
+    terms = [re.findall(licenses.TERM, x) for x in lines]
+    out = list(terms)
+    for inside in ([bool(t) for t in terms], [bool(re.match(licenses.COMMENT, x)) for x in lines]):
+        run = []
+        for i in [*range(len(lines)), None]:
+            if i is not None and inside[i]:
+                run.append(i)
+                continue
+            if len(run) > 1:
+                out.append([t for j in run for t in terms[j]])
+            run = []
+    if path and re.search(licenses.LICENSE_FILE, path):
+        out.append([t for x in terms for t in x])
+    return out
+
+
+def best_license(text, path, templates):
+    weights, unknown = licenses.template_weights(templates)
+    idf = {t: i for _, _, t, _, i in weights}
+    best = (0.0, "")
+    for terms in units_of(text, path):
+        n = {t: (1 + math.log(c)) * idf.get(t, unknown) for t, c in Counter(terms).items()}
+        norm = math.sqrt(sum(w * w for w in n.values()))
+        scores = Counter()
+        for form, name, t, w, _ in weights:
+            scores[form, name] += n.get(t, 0.0) * w / norm if norm else 0.0
+        best = min([best, *((-round(x, 9), name) for (_, name), x in scores.items())])
+    return (best[1], -best[0]) if -best[0] >= licenses.COSINE else (None, None)
+
+
+def wrapped(text, width, mark=""):
+    words, lines = text.split(), [[]]
+    for w in words:
+        if sum(map(len, lines[-1])) + len(lines[-1]) + len(w) > width:
+            lines.append([])
+        lines[-1].append(w)
+    return "\n".join(mark + " ".join(x) for x in lines)
+
+
+def test_license_units(spark):
+    """Lines, wrapped headers and whole license files declare their license, against the cosine of each unit with no filter before it."""
+    apache, mit = licenses.TEMPLATES["Apache-2.0"][-1], licenses.TEMPLATES["MIT"][-1]
+    files = [
+        ("This Source Code Form is subject to the terms of the Public v 2.0", "a.c", "MPL-2.0"),
+        ("use in source and binary forms, with or without modification, are permitted", "b.c", "BSD-3-Clause"),
+        ("Copyright 2020 Someone\n\n" + wrapped(mit, 70), "x/LICENSE", "MIT"),
+        ("SPDX-License-Identifier: MIT", "c.c", "MIT"),
+        ("# SPDX-License-Identifier: Apache-2.0\nimport os", "d.py", "Apache-2.0"),
+        ("// Copyright 2020\n//\n" + wrapped(apache, 40, "// ") + "\nint main() { return frobnicate(quux); }", "e.cc", "Apache-2.0"),
+        (wrapped(licenses.TEMPLATES["GPL-3.0"][-1], 60, " * "), "f.c", "GPL-3.0"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nand much more text of other words here " * 3, "y/COPYING", "GPL-3.0"),
+        ("SPDX-License-Identifier: Zlib", "g.c", None),
+        ("the of and to in that is with", "h.c", None),
+        ("the license of this and that software is in the box of warranty, and so on\n" * 40, "i.c", None),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, p, t) for i, (t, p, _) in enumerate(files)], "doc_id long, path string, text string")).collect()}
+    declared = {i: r["license"] if r["origin"] == "declared" else None for i, r in got.items()}
+    assert declared == {i: want for i, (_, _, want) in enumerate(files)}
     rng = random.Random(4)
-    lines = ["This Source Code Form is subject to the terms of the", "use in source and binary forms, with or without modification, are permitted", "and use in source and binary forms, with or without", "2.0license apache version under the licensed", "", "the of and to"]
-    for _ in range(600):
-        own = rng.choice(list(licenses.TEMPLATES.values())).split()
-        lines.append(" ".join([w for w in own if rng.random() < 0.6] * rng.choice([1, 1, 2]) + [f"x{rng.randrange(99)}" for _ in range(rng.randrange(6))]))
-    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, None, x) for i, x in enumerate(lines)], "doc_id long, path string, text string")).collect()}
-    want = {i: (name, -x) if -x >= licenses.COSINE else (None, None) for i, (x, name) in enumerate(map(best, lines))}
-    assert {i: r["license"] for i, r in got.items()} == {i: w[0] for i, w in want.items()}
-    assert all(abs(got[i]["score"] - w[1]) < 1e-8 for i, w in want.items() if w[0])
-    assert [want[i][0] for i in range(3)] == ["MPL-2.0", "BSD-3-Clause", "BSD-3-Clause"] and 50 < sum(w[0] is None for w in want.values()) < 550
+    pool = [x for texts in licenses.TEMPLATES.values() for x in texts]
+    odd = []
+    for i in range(300):
+        own = rng.choice(pool).split()
+        text = " ".join([w for w in own if rng.random() < 0.6] * rng.choice([1, 1, 2]) + [f"x{rng.randrange(99)}" for _ in range(rng.randrange(30))])
+        odd.append((wrapped(text, rng.choice([20, 60, 400]), rng.choice(["", "", "# ", "-- "])), rng.choice([None, "p/a.c", "LICENSE-MIT", "sub/COPYING"])))
+    odd += [(None, "LICENSE"), ("", "LICENSE"), ("\n\n", "LICENSE"), ("mit license", None)]
+    for templates in (licenses.TEMPLATES, {"Own": "use it as you like but keep this notice", "Other": ["ask the owner of the box", "no use without a letter"]}):
+        found = licenses.scan(spark.createDataFrame([(i, p, t) for i, (t, p) in enumerate(odd)], "doc_id long, path string, text string"), templates).collect()
+        want = {i: best_license(t, p, templates) for i, (t, p) in enumerate(odd)}
+        assert {r["doc_id"]: r["license"] if r["origin"] == "declared" else None for r in found} == {i: w[0] for i, w in want.items()}
+        assert all(abs(r["score"] - want[r["doc_id"]][1]) < 1e-8 for r in found if r["origin"] == "declared")
+    assert licenses.scan(spark.createDataFrame([(0, "a", "use it as you like but keep this notice")], "doc_id long, path string, text string"), {"Own": "use it as you like but keep this notice"}).first()["license"] == "Own"
+    tied = {"B": "one two three four", "A": "four three two one"}
+    assert licenses.scan(spark.createDataFrame([(0, "a", "one two three four")], "doc_id long, path string, text string"), tied).first()["license"] == "A"
 
 
 def test_pipeline(spark, rows, tmp_path):

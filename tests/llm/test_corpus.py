@@ -468,10 +468,48 @@ def test_class_lm(rows, docs, empty, monkeypatch):
     assert classlm.score(empty, model, rare).count() == 0
 
 
-def test_class_lm_is_a_distribution(docs):
-    """Transitions of a class sum to one, and a class's emissions with its unseen word do, too."""
-    model, _ = classlm.fit(docs)
+@pytest.mark.parametrize("head", [1 << 17, 20])
+def test_class_lm_is_a_distribution(docs, monkeypatch, head):
+    """Transitions of a class sum to one, and a class's emissions with its unseen word do, too; words beyond the head change nothing."""
+    whole, none = classlm.fit(docs)
+    monkeypatch.setattr(classlm, "HEAD", head)
+    model, rare = classlm.fit(docs)
     assert np.allclose((10**model.transitions).sum(axis=1), 1)
+    mass = np.bincount(model.head_class, model.head_count + 1.0, minlength=classlm.CLASSES + 1)
+    words_of = {int(w): int(c) for w, c in zip(model.head.view(np.int64), model.head_class, strict=True)}
+    for r in rare.collect():
+        if r["class"] is not None:
+            mass[r["class"]] += r["n"] + 1
+            words_of[r["word"]] = r["class"]
+        else:
+            assert r["n"] < classlm.FLOOR
+            mass += 0.0
+    unclassed = [r["n"] + 1 for r in rare.collect() if r["class"] is None]
+    assert math.isclose((10**model.norms[: classlm.CLASSES] - 1).sum(), mass.sum() + sum(unclassed), rel_tol=1e-9)
+    if head == 1 << 17:
+        assert np.allclose(10**model.norms[: classlm.CLASSES], mass[: classlm.CLASSES] + 1)
+    assert (model.tokens, model.types) == (whole.tokens, whole.types)
+
+
+def test_class_lm_beyond_the_head(spark, monkeypatch):
+    """The same scores, whether words travel or are joined by their places."""
+    def scores():
+        model, rare = classlm.fit(docs)
+        return sorted((r["n_tokens"], round(r["score"], 6)) for r in classlm.score(docs, model, rare).collect())
+
+    rng = random.Random(2)
+    many = [" ".join(f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(400)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")
+    whole = scores()
+    monkeypatch.setattr(classlm, "HEAD", 1100)
+    assert scores() == whole
+
+
+def test_words_go_where_their_contexts_fit(spark):
+    moves = np.ones((classlm.CLASSES + 1, classlm.CLASSES + 1))
+    moves[3, 7] = moves[7, 5] = 500.0
+    found = spark.createDataFrame([(1, [(3, 2), (classlm.CLASSES + 1 + 5, 2)])], "word long, slots array<struct<slot: int, n: long>>")
+    assert classlm.best_classes(found, "word", moves).first()["class"] == 7
 
 
 def test_exchange_raises_likelihood():

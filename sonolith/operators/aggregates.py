@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonolith.functions.arrays import let
 from sonolith.operators.predicates import is_full_mix, parent_dir
 
 #: Instrument labels by the way their sound is made; others count for neither.
@@ -150,9 +151,10 @@ def electronic_share(scores: Column, least_mass: float = 0.05) -> Column:
 
 def median_mid(values: Column) -> Column:
     """Median of an array, the mean of the middle two for an even number."""
-    s, n = F.array_sort(values), F.size(values)
+    n = F.size(values)
     half = F.floor(n / 2).cast("int")
-    return F.when(n > 0, F.when(n % 2 == 1, F.get(s, half)).otherwise((F.get(s, half - 1) + F.get(s, half)) / 2))
+    middle = lambda s: F.when(n % 2 == 1, F.get(s, half)).otherwise((F.get(s, half - 1) + F.get(s, half)) / 2)
+    return F.when(n > 0, let(F.array_sort(values), middle))
 
 
 def median_upper(values: Column) -> Column:

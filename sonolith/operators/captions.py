@@ -95,6 +95,38 @@ def instruments(prefix: str = "") -> Column:
     return F.slice(by_score(best), 1, MOST_INSTRUMENTS)
 
 
+def primary_instruments(full_mix: Column, stem: Column, is_stem: Column) -> Column:
+    """Entries to show first, best first: the stem model's on a stem, unless it has none or the full mix's top is drums or percussion from STEM_FLOOR on."""
+    mix, own = by_score(F.map_entries(_no_map(full_mix))), by_score(F.map_entries(_no_map(stem)))
+    top = F.get(mix, F.lit(0))
+    drums = F.coalesce(top["label"].isin("drums", "percussion") & (top["score"] >= STEM_FLOOR), F.lit(False))
+    return F.when(is_stem & (F.size(own) > 0) & ~drums, own).otherwise(mix)
+
+
+def shown_instruments(entries: Column, hint: Column, floor: Column) -> Column:
+    """Labels of a list's column: the file name's hint, then entries from the floor on; without a hint the best entry is always shown."""
+    fine = F.filter(entries, lambda e, i: (e["score"] >= floor) | ((i == 0) & hint.isNull()))
+    names = F.concat(F.when(hint.isNotNull(), F.array(hint)).otherwise(F.array().cast("array<string>")), F.transform(fine, lambda e: e["label"]))
+    lowered = F.transform(names, F.lower)
+    return F.filter(names, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+
+
+def instrument_column(files: DataFrame) -> DataFrame:
+    """files(id, path, content_type, instrument, stem_instrument) -> id, labels: from 0.1 on for tracks, else from 0.3; a stem's name leads."""
+    stem = F.coalesce(F.col("content_type") == "stem", F.lit(False))
+    floor = F.when(F.col("content_type") == "track", LEAST_SCORE).otherwise(STEM_FLOOR)
+    hint = F.when(stem, instrument_hint(F.col("path")))
+    return files.select("id", shown_instruments(primary_instruments(F.col("instrument"), F.col("stem_instrument"), stem), hint, floor).alias("labels"))
+
+
+def segment_instrument_column(segments: DataFrame) -> DataFrame:
+    """The same for segments(id, path, content_type, instrument, stem_instrument): from 0.3 on for segments of stems, else from 0.1."""
+    stem = F.coalesce(F.col("content_type") == "stem", F.lit(False))
+    floor = F.when(stem, STEM_FLOOR).otherwise(LEAST_SCORE)
+    hint = F.when(stem, instrument_hint(F.col("path")))
+    return segments.select("id", shown_instruments(primary_instruments(F.col("instrument"), F.col("stem_instrument"), stem), hint, floor).alias("labels"))
+
+
 def _names(labels: Column) -> Column:
     return F.transform(labels, lambda e: e["label"])
 
@@ -263,3 +295,14 @@ def retag(old: Column, fresh: Column, kept: list[str]) -> Column:
 def prompt(fields: Column) -> Column:
     """"Key: value" parts of array<struct<k, v>>, joined by commas, empty values left out."""
     return F.array_join(F.transform(F.filter(fields, lambda x: F.coalesce(x["v"] != "", F.lit(False))), lambda x: F.concat_ws(": ", x["k"], x["v"])), ", ")
+
+
+def random_prompts(choices: DataFrame, seed: int = 0) -> DataFrame:
+    """choices(prompt_id, position, key, value, n): for each prompt and key one value, drawn in proportion to n by a hash of seed, prompt and key, joined
+    in order of position."""
+    from sonolith.operators.aggregates import weighted_choice
+
+    point = F.pmod(F.xxhash64(F.lit(seed), "prompt_id", "key"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = weighted_choice(choices, ["prompt_id", "position", "key"], point)
+    rows = drawn.groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("key").alias("k"), F.col("value").alias("v")))).alias("_f"))
+    return rows.select("prompt_id", prompt(F.transform("_f", lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))).alias("prompt"))

@@ -83,3 +83,18 @@ def kept_take(files: DataFrame, take: DataFrame, recipe: str) -> DataFrame:
     new = out.join(take.select(F.col("path").alias("_taken")), F.col("path") == F.col("_taken"), "left")
     human = F.when(F.col("_taken").isNotNull(), set_key(F.coalesce("human", empty), "generated", F.lit(recipe))).otherwise(F.col("human"))
     return new.withColumn("human", human).drop("_taken")
+
+
+#: Parts of a segment's document that need music, in order; the stem model's also need a stem.
+HEADS = ["moodtheme", "instrument", "instrument_normalized", "stem_instrument", "stem_instrument_normalized", "danceability_head", "genre", "genre_normalized", "voice_instrumental"]
+
+
+def segment_machine(slices: DataFrame) -> DataFrame:
+    """The stored document of each analysed segment. slices(segment_id, file_id, duration_seconds, sample_rate, dsp, embedding, dclap_embedding, content_gate (with
+    is_music), stem_parent, and what the heads gave, each null if it failed) -> segment_id, file_id, machine (JSON without the null parts). Heads count only
+    with an embedding and a gate that says music, the stem model's only for segments of stems. There is no rhythm and no key."""
+    music = F.col("embedding").isNotNull() & F.coalesce(F.col("content_gate.is_music"), F.lit(False))
+    part = lambda c: F.when(music & (F.coalesce("stem_parent", F.lit(False)) if c.startswith("stem_") else F.lit(True)), F.col(c)).alias(c)
+    first = ["duration_seconds", "sample_rate", "dsp", "embedding", "dclap_embedding", "content_gate"]
+    document = F.struct(*first, *[part(c) for c in HEADS if c in slices.columns])
+    return slices.select("segment_id", "file_id", F.to_json(document).alias("machine"))

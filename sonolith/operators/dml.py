@@ -15,11 +15,24 @@ from pyspark.sql import types as T
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row of each key with the greatest order value."""
-    by = Window.partitionBy(*keys).orderBy(F.desc(order))
+    """The row of each key with the greatest order value; of several, the one whose other columns, as JSON, come last."""
+    rest = [c for c in rows.columns if c not in keys and c != order]
+    by = Window.partitionBy(*keys).orderBy(F.desc(order), *([F.to_json(F.struct(*rest)).desc()] if rest else []))
     return rows.withColumn("_at", F.row_number().over(by)).where("_at = 1").drop("_at")
 
 
+def numbered_rows(rows: DataFrame, bucket: Column, name: str, *order: str) -> DataFrame:
+    """Numbers rows from 1 in an order whose first part is the bucket: inside each bucket, after the sums of the buckets before. Only the table of
+    buckets, one row for each, is ordered as a whole."""
+    marked = rows.withColumn("_bucket", bucket)
+    inside = marked.withColumn(name, F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy(F.col("_bucket").alias("_of")).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_bucket", F.col("_of"))
+    sums = sums.withColumn("_skip", F.coalesce(F.sum("_rows").over(before), F.lit(0))).select("_of", "_skip")
+    both = inside.join(sums, F.col("_bucket").eqNullSafe(F.col("_of")))
+    return both.withColumn(name, F.col(name) + F.col("_skip")).drop("_bucket", "_of", "_skip")
+
+
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Inserts new keys and sets `columns` of known ones; other columns of known rows stay, those of new rows are null."""
     marked = changes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_n_{c}") for c in columns], F.lit(True).alias("_changed"))
@@ -109,8 +122,10 @@ def add_segments(segments: DataFrame, new: DataFrame) -> DataFrame:
     wrong = new.where(F.col("file_id").isNull() == F.col("group_id").isNull())
     if not wrong.isEmpty():
         raise ValueError("a segment belongs to a file or to a group")
-    top = segments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = new.where("id is null").withColumn("_n", F.row_number().over(Window.orderBy("start", "end", "file_id", "group_id"))).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("_n")).drop("_n", "top")
+    top = segments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    minute = F.floor(F.col("start") / 60)
+    placed = numbered_rows(new.where("id is null"), minute, "_n", "start", "end", "file_id", "group_id")
+    numbered = placed.withColumn("id", F.col("_n") + F.lit(top).cast("long")).drop("_n")
     return segments.unionByName(new.where("id is not null")).unionByName(numbered)
 
 
@@ -151,6 +166,27 @@ def rename_nocase(groups: DataFrame, old: str, new: str) -> DataFrame:
     return groups.withColumn("name", F.when(F.lower("name") == old.lower(), new).otherwise(F.col("name")))
 
 
+def create_group(groups: DataFrame, name: str, added_at: int) -> DataFrame:
+    """Adds a group with the next id, unless one of that name is there (without regard to ASCII case)."""
+    if not groups.where(F.lower("name") == name.lower()).isEmpty():
+        return groups
+    top = groups.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("top")).first()["top"]
+    return groups.unionByName(groups.sparkSession.createDataFrame([(top + 1, name, added_at)], "group_id long, name string, added_at long"))
+
+
+def find_group(groups: DataFrame, name: str) -> DataFrame:
+    return groups.where(F.lower("name") == name.lower())
+
+
+def add_members(members: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds (collection_id, file_id, added_at); who is a member stays as they are."""
+    return insert_or_ignore(members, new.select(*members.columns), ["collection_id", "file_id"])
+
+
+def remove_members(members: DataFrame, gone: DataFrame) -> DataFrame:
+    return members.join(gone.select("collection_id", "file_id"), ["collection_id", "file_id"], "left_anti")
+
+
 def ungroup(groups: DataFrame, roots: DataFrame, group_id: int) -> tuple[DataFrame, DataFrame]:
     """Deletes a group; its roots stay, ungrouped."""
     return groups.where(F.col("group_id") != group_id), roots.withColumn("group_id", F.when(F.col("group_id") != group_id, F.col("group_id")))

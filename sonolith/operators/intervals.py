@@ -96,9 +96,11 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], time: str, before:
     b = right.select(*keys, time).distinct()
     b = b.select(*keys, time, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in {*keys, time}], rank.alias("_side"), F.col(time).cast("double").alias("_mark"))
     by = Window.partitionBy(*keys).orderBy(time, "_side")
+    back = Window.partitionBy(*keys).orderBy(F.desc(time), F.desc("_side"))
     both = a.unionByName(b)
     both = both.withColumn(before, F.last("_mark", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn(after, F.first("_mark", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing)))
+    # running frames in both directions: one that ended ahead would be built anew for each row
+    both = both.withColumn(after, F.last("_mark", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     return both.where("_side = 1").drop("_side", "_mark")
 
 

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonolith.functions.scalars import round_half_away
+from sonolith.functions.scalars import fade_gain, round_half_away
+from sonolith.operators.dml import numbered_rows
 from sonolith.operators.intervals import range_join
-from sonolith.operators.predicates import parent_dir
+from sonolith.operators.predicates import basename, parent_dir
+from sonolith.sources.scratch import materialize
 
 FLOOR = 0.001
 
 
 def sidebar(groups: DataFrame, roots: DataFrame, collections: DataFrame) -> DataFrame:
     """kind, id, name, position: groups with their roots, then roots of no group, then collections, each by added_at."""
-    by = lambda *c: F.row_number().over(Window.orderBy(*c))
     tops = groups.select(F.lit(0).alias("k"), "added_at", F.col("group_id").alias("id"), "name").unionByName(roots.where("group_id is null").select(F.lit(1).alias("k"), "added_at", F.col("root_id").alias("id"), "name")).unionByName(collections.select(F.lit(2).alias("k"), "added_at", F.col("collection_id").alias("id"), "name"))
     kinds = F.element_at(F.array(F.lit("group"), F.lit("root"), F.lit("collection")), F.col("k") + 1)
     members = roots.where("group_id is not null").groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("added_at", "root_id"))), lambda x: x["root_id"]).alias("roots"))
-    listed = tops.withColumn("position", by("k", "added_at", "id")).withColumn("kind", kinds)
+    listed = numbered_rows(tops, F.struct("k", F.floor(F.col("added_at") / 3600).alias("hour")), "position", "k", "added_at", "id").withColumn("kind", kinds)
     return listed.join(members, (F.col("kind") == "group") & (F.col("id") == F.col("group_id")), "left").select("position", "kind", "id", "name", "roots")
 
 
@@ -130,6 +131,44 @@ def mixdown(samples: DataFrame) -> DataFrame:
     return heard.groupBy("at").agg(F.sum(F.col("value") * F.col("gain") * F.col("lane_gain")).alias("value"))
 
 
+def mix_voices(voices: DataFrame, samples: DataFrame, shape: str = "equal_power", master: float = 1.0) -> DataFrame:
+    """voices(id, lane, start, length, gain, lane_gain, muted, solo, fade_in, fade_out; times in samples), samples(source, i, value) by voices.source -> at,
+    value: the sum of what sounds at each time. A voice sounds for its length, or until its source ends; it fades over its first and last samples;
+    a soloed lane silences the others."""
+    any_solo = voices.agg(F.coalesce(F.max("solo"), F.lit(False)).alias("any")).first()["any"]
+    heard = voices.where(~F.col("muted") & (F.col("solo") | F.lit(not any_solo)))
+    both = heard.join(samples, "source").where(F.col("i").between(0, F.col("length") - 1))
+    rising = F.when(F.col("i") < F.col("fade_in"), fade_gain(F.col("i") / F.col("fade_in"), shape)).otherwise(1.0)
+    left = F.col("length") - F.col("i")
+    falling = F.when(left <= F.col("fade_out"), fade_gain(left / F.col("fade_out"), shape)).otherwise(1.0)
+    part = F.col("value") * F.col("gain") * F.col("lane_gain") * rising * falling
+    return both.select((F.col("start") + F.col("i")).alias("at"), part.alias("part")).groupBy("at").agg((F.sum("part") * master).alias("value"))
+
+
+def by_file_name(files: DataFrame) -> DataFrame:
+    """Files in order of their names without regard to case, then of their paths."""
+    return files.orderBy(F.lower(basename(F.col("path"))), "path")
+
+
+def dataset(files: DataFrame, folder: str, defaults: DataFrame | None = None, trigger: str = "") -> DataFrame:
+    """What a training set of a folder's analysed files holds: id, folder, name, prose and sidecar, for documents.write_sidecars()."""
+    from sonolith.operators.captions import captions
+    from sonolith.operators.predicates import stem_name, under_folder
+
+    chosen = files.where(under_folder(F.col("path"), F.lit(folder)) & F.col("analyzed_at").isNotNull())
+    told = captions(chosen, defaults, trigger)
+    return told.join(chosen.select("id", parent_dir(F.col("path")).alias("folder"), stem_name(F.col("path")).alias("name")), "id").select("id", "folder", "name", "prose", "sidecar")
+
+
+def dataset_coverage(files: DataFrame, prepared: DataFrame, folder: str) -> DataFrame:
+    """Of a folder's files: all, analysed ones, those with a sidecar, and whether the set is complete."""
+    from sonolith.operators.predicates import under_folder
+
+    inside = files.where(under_folder(F.col("path"), F.lit(folder))).join(prepared.select(F.col("id").alias("_told")), F.col("id") == F.col("_told"), "left")
+    one = inside.agg(F.count(F.lit(1)).alias("n_files"), F.count("analyzed_at").alias("n_analyzed"), F.count("_told").alias("n_told"))
+    return one.withColumn("complete", F.col("n_told") == F.col("n_files"))
+
+
 def voices_in_window(blocks: DataFrame, windows: DataFrame) -> DataFrame:
     """blocks(arrangement, id, start, end) that sound in windows(arrangement, w, start, end), with the overlap."""
     hit = range_join(windows, blocks, ["arrangement"], 30.0)
@@ -148,17 +187,25 @@ def stale_children(blocks: DataFrame, tolerance: float = 0.005) -> DataFrame:
 
 
 def chain_depths(blocks: DataFrame, guard: int = 256) -> DataFrame:
-    """id, root, depth in the forest of blocks that follow each other; blocks on a cycle or deeper than the guard come with a null root."""
-    spark = blocks.sparkSession
-    blocks.select("id", "follows").createOrReplaceTempView("_follow_edges")
-    reached = spark.sql(
-        f"""with recursive chain(id, root, depth) as (
-            select id, id, 0 from _follow_edges where follows is null
-            union all
-            select e.id, c.root, c.depth + 1 from _follow_edges e join chain c on e.follows = c.id where c.depth < {guard})
-        select id, root, depth from chain"""
-    )
-    return blocks.select("id").join(reached, "id", "left")
+    """id, root, depth in the forest of blocks that follow each other; blocks on a cycle, below a missing one or deeper than the guard come with a null root.
+    Pointers double: after n joins every block knows its ancestor 2^n steps up, and each round is a written table."""
+    first = blocks.select("id", F.coalesce("follows", "id").alias("at"), F.when(F.col("follows").isNull(), 0).otherwise(1).alias("depth"), F.col("follows").isNotNull().alias("open"))
+    state = materialize(first, "chains")
+    for _ in range(max(1, guard).bit_length() + 1):
+        if state.where("open").isEmpty():
+            break
+        up = state.select(F.col("id").alias("_at"), F.col("at").alias("_up"), F.col("depth").alias("_more"), F.col("open").alias("_open"))
+        both = state.join(up, F.col("open") & (F.col("at") == F.col("_at")), "left")
+        lost = F.col("open") & F.col("_at").isNull()
+        state = both.select(
+            "id",
+            F.when(F.col("open"), F.col("_up")).otherwise(F.col("at")).alias("at"),
+            F.when(F.col("open") & ~lost, F.least(F.col("depth") + F.col("_more"), F.lit(4 * guard + 4))).otherwise(F.col("depth")).alias("depth"),
+            F.coalesce(F.col("_open") & F.col("open"), F.lit(False)).alias("open"),
+        )
+        state = materialize(state, "chains")
+    found = ~F.col("open") & F.col("at").isNotNull() & (F.col("depth") <= guard)
+    return state.select("id", F.when(found, F.col("at")).alias("root"), F.when(found, F.col("depth")).alias("depth"))
 
 
 def would_cycle(chains: DataFrame, child: int, parent: int) -> bool:

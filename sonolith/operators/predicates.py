@@ -163,6 +163,13 @@ def filename_key(path: Column) -> Column:
     return F.when(token.isNotNull(), F.concat(F.upper(F.regexp_extract(token, pattern, 1)), F.regexp_extract(token, pattern, 2), F.when(quality == "maj", " maj").otherwise(" min")))
 
 
+def for_analysis(files: DataFrame, force: bool = False, content_type: str | None = None, limit: int | None = None) -> DataFrame:
+    """Files that wait for analysis: those without one (all, if forced), of a type, at most `limit`, smallest ids first."""
+    rows = files if force else files.where(F.col("analyzed_at").isNull())
+    rows = rows if content_type is None else rows.where(F.col("content_type") == content_type)
+    return rows if limit is None else rows.orderBy("id").limit(limit)
+
+
 def gates() -> dict[str, Column]:
     """Which stages run: heads need an embedding and music, keys a harmonic sound, rhythm anything but a one-shot, regions a stem or five minutes."""
     return {

@@ -10,10 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonolith.functions.arrays import let
 from sonolith.operators.aggregates import median_mid, median_upper
 
 BINS = 16
@@ -21,6 +22,8 @@ LEAST_ONSETS = 80
 LEAST_STRENGTH = 1.50
 PERIODS = (0.28, 1.20, 0.0005)
 GRID_LEAST_BEATS = 12
+#: Stability below which the second beat track is looked at.
+GRID_CROSS_CHECK = 0.90
 
 
 def intervals(beats: Column) -> Column:
@@ -35,8 +38,7 @@ def _mean(values: Column) -> Column:
 
 def _stddev(values: Column) -> Column:
     """Population standard deviation of an array."""
-    mean = _mean(values)
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(values))
+    return let(values, lambda v: let(_mean(v), lambda mean: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(v))))
 
 
 def median_bpm(beats: Column) -> Column:
@@ -47,17 +49,20 @@ def median_bpm(beats: Column) -> Column:
 
 def jitter(beats: Column, least_beats: int = 16, sane: float = 2.0) -> Column:
     """Deviation of the intervals over their mean; null with few beats, with beats out of order, or beyond what a player does."""
-    steps = intervals(beats)
-    value = _stddev(steps) / _mean(steps)
-    return F.when((F.size(beats) >= least_beats) & F.forall(steps, lambda x: x > 0), F.when(value <= sane, value))
+    def of(steps: Column) -> Column:
+        value = let(_stddev(steps) / _mean(steps), lambda v: F.when(v <= sane, v))
+        return F.when((F.size(steps) >= least_beats - 1) & F.forall(steps, lambda x: x > 0), value)
+
+    return let(intervals(beats), of)
 
 
 def grid_stability(beats: Column, tolerance: float = 0.25) -> Column:
     """Share of intervals within the tolerance of the upper median; 0 with fewer than two."""
-    steps = intervals(beats)
-    m = median_upper(steps)
-    even = F.size(F.filter(steps, lambda x: F.abs(x - m) <= tolerance * m))
-    return F.when((F.size(steps) >= 2) & (m > 0), even / F.size(steps)).otherwise(0.0)
+    def share(steps: Column) -> Column:
+        even = lambda m: F.size(F.filter(steps, lambda x: F.abs(x - m) <= tolerance * m))
+        return let(median_upper(steps), lambda m: F.when((F.size(steps) >= 2) & (m > 0), even(m) / F.size(steps)).otherwise(0.0))
+
+    return let(intervals(beats), share)
 
 
 def grid_source(dbn: Column, minimal: Column, below: float = 0.90) -> Column:
@@ -67,25 +72,58 @@ def grid_source(dbn: Column, minimal: Column, below: float = 0.90) -> Column:
 
 
 def tempo_windows(beats: Column, width: float = 60.0) -> Column:
-    """Tempo of each window of `width` seconds with two beats or more."""
-    last = F.element_at(beats, -1)
-    count = F.when(F.size(beats) >= 2, F.ceil(last / width).cast("int")).otherwise(0)
-    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    inside = F.transform(numbers, lambda w: F.filter(beats, lambda b: (b >= w * width) & (b < (w + 1) * width)))
-    means = F.transform(F.filter(inside, lambda x: F.size(x) >= 2), lambda x: (F.element_at(x, -1) - x[0]) / (F.size(x) - 1))
-    return F.transform(F.filter(means, lambda m: m > 0), lambda m: 60 / m)
+    """Tempo of each window of `width` seconds with two beats or more. Beats ascend, so a window is a run of them and one pass finds all."""
+
+    def of(b: Column) -> Column:
+        window = lambda i: F.floor(F.get(b, i) / width)
+        starts = F.array_compact(F.transform(b, lambda x, i: F.when((x >= 0) & ((i == 0) | ~window(i - 1).eqNullSafe(window(i))), i)))
+        ends = F.array_compact(F.transform(b, lambda x, i: F.when((x >= 0) & ((i == F.size(b) - 1) | ~window(i + 1).eqNullSafe(window(i))), i)))
+        runs = F.arrays_zip(starts.alias("a"), ends.alias("e"))
+        means = F.transform(F.filter(runs, lambda r: r["e"] > r["a"]), lambda r: (F.get(b, r["e"]) - F.get(b, r["a"])) / (r["e"] - r["a"]))
+        return F.transform(F.filter(means, lambda m: m > 0), lambda m: 60 / m)
+
+    return let(beats, of)
 
 
 def tempo_stability(beats: Column) -> Column:
     """Struct of window_count, stddev_bpm, range_bpm and unstable; all zero with fewer than three windows."""
-    w = tempo_windows(beats)
-    enough = F.size(w) >= 3
-    return F.struct(
-        F.when(enough, F.size(w)).otherwise(0).alias("window_count"),
-        F.when(enough, _stddev(w)).otherwise(0.0).alias("stddev_bpm"),
-        F.when(enough, F.array_max(w) - F.array_min(w)).otherwise(0.0).alias("range_bpm"),
-        F.coalesce(enough & (_stddev(w) > 10.0), F.lit(False)).alias("unstable"),
+    def of(w: Column) -> Column:
+        enough = F.size(w) >= 3
+        return let(
+            _stddev(w),
+            lambda stddev: F.struct(
+                F.when(enough, F.size(w)).otherwise(0).alias("window_count"),
+                F.when(enough, stddev).otherwise(0.0).alias("stddev_bpm"),
+                F.when(enough, F.array_max(w) - F.array_min(w)).otherwise(0.0).alias("range_bpm"),
+                F.coalesce(enough & (stddev > 10.0), F.lit(False)).alias("unstable"),
+            ),
+        )
+
+    return let(tempo_windows(beats), of)
+
+
+def rhythm_stage(files: DataFrame, recheck: Column | None = None) -> DataFrame:
+    """The rhythm stage of files(id, dbn_beats, dbn_downbeats, minimal_beats, minimal_downbeats, second_bpm): which of two beat tracks is used, its
+    stability (that of the second is -1 where it isn't looked at), median and fitted tempo, tempo windows, a second estimator's tempo (if `recheck`
+    holds) and its ratio to the first, and whether either found a tempo."""
+    recheck = F.lit(True) if recheck is None else recheck
+    rows = files.withColumns({"_dbn": grid_stability(F.col("dbn_beats")), "_other": grid_stability(F.col("minimal_beats"))})
+    crossed = F.col("_dbn") < GRID_CROSS_CHECK
+    minimal = F.coalesce(crossed & (F.col("_other") > F.col("_dbn")) & (F.size("minimal_beats") >= GRID_LEAST_BEATS), F.lit(False))
+    rows = rows.select(
+        "id",
+        F.when(minimal, "minimal").otherwise("dbn").alias("grid_source"),
+        F.when(minimal, F.col("_other")).otherwise(F.col("_dbn")).alias("stability"),
+        F.col("_dbn").alias("stability_dbn"),
+        F.when(crossed, F.col("_other")).otherwise(-1.0).alias("stability_minimal"),
+        F.when(minimal, F.col("minimal_beats")).otherwise(F.col("dbn_beats")).alias("beats"),
+        F.when(minimal, F.col("minimal_downbeats")).otherwise(F.col("dbn_downbeats")).alias("downbeats"),
+        F.when(recheck, F.coalesce("second_bpm", F.lit(0.0))).otherwise(0.0).alias("second_bpm"),
     )
+    rows = rows.withColumns({"bpm": F.coalesce(median_bpm(F.col("beats")), F.lit(0.0)), "_period": fitted_period(F.col("beats")), "tempo": tempo_stability(F.col("beats"))})
+    fitted = F.when(F.col("_period") > 0, 60 / F.col("_period")).otherwise(0.0)
+    ratio = F.when((F.col("bpm") > 0) & (F.col("second_bpm") > 0), F.col("second_bpm") / F.col("bpm"))
+    return rows.withColumns({"fitted_bpm": fitted, "bpm_ratio": ratio, "ok": (F.col("bpm") > 0) | (F.col("second_bpm") > 0)}).drop("_period")
 
 
 def fit_period(beats: np.ndarray) -> float:
@@ -385,8 +423,7 @@ def find_phase(beats: np.ndarray, downbeats: np.ndarray, envelope: np.ndarray, h
 def bar_lines(beats: Column, downbeats: Column, per_bar: Column) -> Column:
     """Every per_bar-th beat from the one nearest to the first downbeat (the first one of a tie), backwards too."""
     away = F.transform(beats, lambda b, i: F.struct(F.abs(b - F.element_at(downbeats, 1)).alias("d"), i.alias("i")))
-    phase = F.coalesce(F.array_min(away)["i"], F.lit(0))
-    return F.transform(F.filter(F.transform(beats, lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda x: F.pmod(x["i"] - phase, per_bar) == 0), lambda x: x["b"])
+    return let(F.coalesce(F.array_min(away)["i"], F.lit(0)), lambda phase: F.filter(beats, lambda _, i: F.pmod(i - phase, per_bar) == 0))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -401,11 +438,12 @@ def on_grid_share(onsets: pd.Series, beats: pd.Series) -> pd.Series:
 
 def tempo_parts(beats: Column, parts: int = 4) -> Column:
     """Tempo of equal counts of intervals (the last part takes the rest), by upper medians."""
-    steps = intervals(beats)
-    size = F.floor(F.size(steps) / parts).cast("int")
-    part = lambda i: F.slice(steps, i * size + 1, F.when(i == parts - 1, F.size(steps) - (parts - 1) * size).otherwise(size))
-    tempos = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: 60 / median_upper(part(i)))
-    return F.when(size > 0, tempos)
+    def of(steps: Column) -> Column:
+        size = F.floor(F.size(steps) / parts).cast("int")
+        part = lambda i: F.slice(steps, i * size + 1, F.when(i == parts - 1, F.size(steps) - (parts - 1) * size).otherwise(size))
+        return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: 60 / median_upper(part(i))))
+
+    return let(intervals(beats), of)
 
 
 def fold_octave(bpm: Column, target: Column) -> Column:

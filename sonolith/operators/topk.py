@@ -34,12 +34,12 @@ def knn(vectors: DataFrame, query: list[float], k: int = 10, exclude: int | None
 def knn_each(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id", vector_col: str = "v") -> DataFrame:
     """For each of a few queries(query_id, v) the k nearest others: each Arrow batch keeps its k best for each query, ties by id, by one matrix
     product and exact distances of what its rounding can't tell apart; only those are shuffled. The queries travel with the tasks; their bytes are checked against 64 MB."""
+    room = queries.agg(F.coalesce(F.sum(F.size(vector_col).cast("long")), F.lit(0)).alias("n")).first()["n"]
+    if room * 8 > 64 << 20:
+        raise ValueError("too many queries for one pass; give them in blocks")
     found = queries.select("query_id", vector_col).toPandas()
     ids = found["query_id"].to_numpy(np.int64)
     wanted = np.stack(found[vector_col].to_numpy()).astype(np.float64) if len(found) else np.zeros((0, 1))
-    if wanted.nbytes > 64 << 20:
-        raise ValueError("too many queries for one pass; give them in blocks")
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         norms = (wanted**2).sum(axis=1)
         for batch in batches:

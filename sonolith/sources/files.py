@@ -109,22 +109,32 @@ def encode_wav(left: np.ndarray, right: np.ndarray | None, rate: int) -> bytes:
 
 
 def clips(audio: DataFrame, plan: DataFrame) -> DataFrame:
-    """audio(file_id, content), plan(file_id, folder, first, last) -> folder, name, wav: the bytes of each clip, cut where the file is."""
+    """audio(file_id, content), plan(file_id, folder, first, last) -> folder, name, wav: the bytes of each clip. The plan is grouped by file, so a file is
+    moved and decoded once, however many clips it gives."""
 
-    @F.pandas_udf("binary")
-    def cut(content: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<folder: string, wav: binary>>")
+    def cut(content: pd.Series, parts: pd.Series) -> pd.Series:
         out = []
-        for c, a, b in zip(content, first, last, strict=True):
+        for c, wanted in zip(content, parts, strict=True):
             d = decode_wav(c)
-            out.append(encode_wav(d["left"][a:b], d["right"][a:b] if d["channels"] > 1 else None, d["rate"]) if d else None)
+            body = lambda a, b: encode_wav(d["left"][a:b], d["right"][a:b] if d["channels"] > 1 else None, d["rate"])  # noqa: B023, E731
+            out.append([{"folder": w["folder"], "wav": body(w["first"], w["last"]) if d else None} for w in wanted])
         return pd.Series(out)
 
-    return plan.join(audio, "file_id").select("folder", F.concat(F.col("file_id").cast("string"), F.lit(".wav")).alias("name"), cut("content", "first", "last").alias("wav"))
+    wanted = plan.groupBy("file_id").agg(F.collect_list(F.struct("folder", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))).alias("_parts"))
+    found = audio.join(wanted, "file_id").select("file_id", F.explode(cut("content", "_parts")).alias("_clip"))
+    return found.select("_clip.folder", F.concat(F.col("file_id").cast("string"), F.lit(".wav")).alias("name"), "_clip.wav")
 
 
 def write_files(rows: DataFrame, root: str, name: str = "name", body: str = "wav") -> DataFrame:
     """Writes one file for each row below a root that all executors share, and returns the names and sizes. Files are written under a temporary name and moved, so
-    a task that runs again leaves the same file."""
+    a task that runs again leaves the same file. The driver leaves a mark in the root; a task that doesn't see it fails, so a root on one machine's own disk is refused."""
+    import uuid
+    from pathlib import Path
+
+    mark = Path(root, f".shared-{uuid.uuid4().hex}")
+    mark.parent.mkdir(parents=True, exist_ok=True)
+    mark.touch()
 
     @F.pandas_udf("long")
     def put(folders: pd.Series, names: pd.Series, bodies: pd.Series) -> pd.Series:
@@ -132,6 +142,8 @@ def write_files(rows: DataFrame, root: str, name: str = "name", body: str = "wav
         import uuid
         from pathlib import Path
 
+        if not mark.exists():
+            raise OSError(f"{root} is not a folder that all executors share")
         sizes = []
         for f, n, b in zip(folders, names, bodies, strict=True):
             b = b.encode() if isinstance(b, str) else b

@@ -110,13 +110,6 @@ def list_criteria(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "files").withColumn("haystack", F.lower("path")).where(predicates.criteria(bpm=(80, 110), key="F Major", terms="takes BOLT")).select("id")
 
 
-@query(
-    """select p_name as folder, 'world' as field, p_type as value, 'unknown word' as problem from part where p_partkey % 50 = 0 group by 1, 2, 3""")
-def vocabulary_errors(spark: SparkSession, sf: str) -> DataFrame:
-    tags = table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_name").alias("folder"), F.lit("world").alias("field"), F.col("p_type").alias("value")).distinct()
-    return predicates.invalid_words(tags).where("problem = 'unknown word'")
-
-
 # scalar functions -----------------------------------------------------------------------------------------------------
 
 
@@ -210,15 +203,6 @@ def delete_untouched(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("source", "human").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    """select l_suppkey as collection_id, l_partkey as file_id, min(l_linenumber) as seq from lineitem where l_partkey % 10 < 5 group by 1, 2"""
-)
-def insert_or_ignore(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").where("l_partkey % 10 < 5").select(F.col("l_suppkey").alias("collection_id"), F.col("l_partkey").alias("file_id"), F.col("l_linenumber").alias("seq"))
-    first = rows.groupBy("collection_id", "file_id").agg(F.min("seq").alias("seq")).where("file_id % 2 = 0")
-    return dml.insert_or_ignore(first, rows, ["collection_id", "file_id"])
-
-
 @query(
     """, a as (select id, content_type, bpm from files where id % 4 <> 0), b as (select id, case when id % 5 = 0 then 'stem' else content_type end as content_type, bpm from files where id % 4 <> 1)
     select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id is null then 'removed' else 'changed' end as status from a full join b on a.id = b.id
@@ -296,34 +280,14 @@ def containing_cue(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.point_in_span(points, s.where("source = 'manual'").select("file_id", "start", "end"), ["file_id"], "mid").select("id", F.col("r_start").alias("cue_start"))
 
 
-@query(
-    """select o.file_id, round(o.t, 6) as t, round(max(b.t) filter (where b.t <= o.t), 6) as before, round(min(b.t) filter (where b.t > o.t), 6) as after
-    from onsets o join beats b on b.file_id = o.file_id where o.file_id < 20 group by o.file_id, o.t""",
-    "onsets", "beats",
-)
-def asof_beats(spark: SparkSession, sf: str) -> DataFrame:
-    onsets = view(spark, sf, "onsets").where("file_id < 20").distinct()
-    found = intervals.asof(onsets, view(spark, sf, "beats").where("file_id < 20"), ["file_id"], "t", "before", "after")
-    return found.select("file_id", r6("t").alias("t"), r6("before").alias("before"), r6("after").alias("after"))
-
-
-@query(
-    """select file_id, round(t, 6) as t, round(n, 6) as nearest from (select o.file_id, o.t, b.t as n, row_number() over (partition by o.file_id, o.t order by abs(b.t - o.t), b.t) as k
-    from (select distinct file_id, t + 0.003e0 as t from onsets where file_id < 10) o join beats b on b.file_id = o.file_id) as x where k = 1""",
-    "onsets", "beats",
-)
-def nearest_beat(spark: SparkSession, sf: str) -> DataFrame:
-    onsets = view(spark, sf, "onsets").where("file_id < 10").select("file_id", (F.col("t") + 0.003).alias("t")).distinct()
-    return intervals.nearest(onsets, view(spark, sf, "beats").where("file_id < 10"), ["file_id"], "t").select("file_id", r6("t").alias("t"), r6("nearest").alias("nearest"))
-
-
 # aggregation ----------------------------------------------------------------------------------------------------------
 
 
-@query("select count(*) as n_files, count(analyzed_at) as n_analyzed, count(bpm) as n_bpm, round(sum(duration_seconds), 4) as seconds from files", "files")
+@query("select count(*) as n_files, count(analyzed_at) as n_analyzed, round(sum(duration_seconds), 4) as seconds, count(*) - count(duration_seconds) as n_unknown from files", "files")
 def library_stats(spark: SparkSession, sf: str) -> DataFrame:
     files = view(spark, sf, "files")
-    return files.agg(F.count(F.lit(1)).alias("n_files"), F.count("analyzed_at").alias("n_analyzed"), F.count("bpm").alias("n_bpm"), F.round(F.sum("duration_seconds"), 4).alias("seconds"))
+    both = aggregates.counts(files).withColumn("k", F.lit(1)).join(aggregates.scope_summary(files).drop("n_files").withColumn("k", F.lit(1)), "k")
+    return both.select("n_files", "n_analyzed", F.round("seconds", 4).alias("seconds"), "n_unknown")
 
 
 @query(
@@ -354,12 +318,6 @@ def sibling_groups(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.sibling_groups(files).select("id", "dir", F.col("length").alias("len"), "n")
 
 
-@query("select lower(p_name) as folded, min(p_name) as value from part group by 1")
-def facet_values(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part")
-    return aggregates.facet_values(part.select(F.col("p_name").alias("value")), part.select(F.upper("p_name").alias("value")).where("false")).select(F.lower("value").alias("folded"), "value")
-
-
 @query(
     """select trig, field, v as value, count(*) as n from (select p_type as trig, 'words' as field, unnest(string_split(p_name, ' ')) as v from part union all select p_type, 'brand', p_brand from part) as x group by 1, 2, 3"""
 )
@@ -437,14 +395,6 @@ def electronic_share(spark: SparkSession, sf: str) -> DataFrame:
     return views.library(spark, sf).select(F.col("id").alias("file_id"), r6(aggregates.electronic_share(F.col("instrument"))).alias("share")).where("share is not null")
 
 
-@query(
-    """select l_suppkey as k, quantile_cont(l_quantity, 0.5) as mid, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] as upper from lineitem where l_suppkey < 50 group by 1"""
-)
-def medians(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").where("l_suppkey < 50").groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_list("l_quantity").alias("v"))
-    return rows.select("k", aggregates.median_mid(F.col("v")).alias("mid"), aggregates.median_upper(F.col("v")).alias("upper"))
-
-
 @query(
     """select p_type, case when count(distinct p_size % 2) = 1 then min(p_size % 2) end as v, count(distinct p_brand) as brands from part group by 1"""
 )
@@ -761,12 +711,6 @@ def music_gate(spark: SparkSession, sf: str) -> DataFrame:
 # catalog --------------------------------------------------------------------------------------------------------------
 
 
-@query("""select id, o_orderkey as added_at, path from orders join files on o_partkey = id order by added_at, id limit 50""".replace("o_partkey", "o_custkey"), "files")
-def collection_files(spark: SparkSession, sf: str) -> DataFrame:
-    members = table(spark, sf, "orders").select(F.lit(1).alias("collection_id"), F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("added_at"))
-    return catalog.collection_files(members, view(spark, sf, "files"), 1).select("id", "added_at", "path").limit(50)
-
-
 @query(
     """select s.id, s.file_id, case when s.id % 3 = 0 then 's' || s.id else 'f' || s.file_id end as machine, s.id % 3 = 0 as from_segment from segments s""", "segments"
 )
@@ -797,15 +741,12 @@ def file_report(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.report(files, ["key", "content_type"])
 
 
-# over whole tables: the queries of the same names without _whole, and their SQL, take a part of the rows ------------------
-
-
 @query(
     """select o.file_id, round(o.t, 6) as t, round(max(b.t) filter (where b.t <= o.t), 6) as before, round(min(b.t) filter (where b.t > o.t), 6) as after
     from onsets o join beats b on b.file_id = o.file_id group by o.file_id, o.t""",
     "onsets", "beats",
 )
-def asof_beats_whole(spark: SparkSession, sf: str) -> DataFrame:
+def asof_beats(spark: SparkSession, sf: str) -> DataFrame:
     found = intervals.asof(view(spark, sf, "onsets").distinct(), view(spark, sf, "beats"), ["file_id"], "t", "before", "after")
     return found.select("file_id", r6("t").alias("t"), r6("before").alias("before"), r6("after").alias("after"))
 
@@ -815,7 +756,7 @@ def asof_beats_whole(spark: SparkSession, sf: str) -> DataFrame:
     from (select distinct file_id, t + 0.003e0 as t from onsets) o join beats b on b.file_id = o.file_id) as x where k = 1""",
     "onsets", "beats",
 )
-def nearest_beat_whole(spark: SparkSession, sf: str) -> DataFrame:
+def nearest_beat(spark: SparkSession, sf: str) -> DataFrame:
     onsets = view(spark, sf, "onsets").select("file_id", (F.col("t") + 0.003).alias("t")).distinct()
     return intervals.nearest(onsets, view(spark, sf, "beats"), ["file_id"], "t").select("file_id", r6("t").alias("t"), r6("nearest").alias("nearest"))
 
@@ -823,31 +764,31 @@ def nearest_beat_whole(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """select l_suppkey as k, quantile_cont(l_quantity, 0.5) as mid, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] as upper from lineitem group by 1"""
 )
-def medians_whole(spark: SparkSession, sf: str) -> DataFrame:
+def medians(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_list("l_quantity").alias("v"))
     return rows.select("k", aggregates.median_mid(F.col("v")).alias("mid"), aggregates.median_upper(F.col("v")).alias("upper"))
 
 
 @query("""select p_name as folder, 'world' as field, p_type as value, 'unknown word' as problem from part group by 1, 2, 3""")
-def vocabulary_errors_whole(spark: SparkSession, sf: str) -> DataFrame:
+def vocabulary_errors(spark: SparkSession, sf: str) -> DataFrame:
     tags = table(spark, sf, "part").select(F.col("p_name").alias("folder"), F.lit("world").alias("field"), F.col("p_type").alias("value")).distinct()
     return predicates.invalid_words(tags).where("problem = 'unknown word'")
 
 
 @query("""select l_suppkey as collection_id, l_partkey as file_id, min(l_linenumber) as seq from lineitem group by 1, 2""")
-def insert_or_ignore_whole(spark: SparkSession, sf: str) -> DataFrame:
+def insert_or_ignore(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("collection_id"), F.col("l_partkey").alias("file_id"), F.col("l_linenumber").alias("seq"))
     first = rows.groupBy("collection_id", "file_id").agg(F.min("seq").alias("seq")).where("file_id % 2 = 0")
     return dml.insert_or_ignore(first, rows, ["collection_id", "file_id"])
 
 
 @query("""select id, o_orderkey as added_at, path from orders join files on o_custkey = id""", "files")
-def collection_files_whole(spark: SparkSession, sf: str) -> DataFrame:
+def collection_files(spark: SparkSession, sf: str) -> DataFrame:
     members = table(spark, sf, "orders").select(F.lit(1).alias("collection_id"), F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("added_at"))
     return catalog.collection_files(members, view(spark, sf, "files"), 1).select("id", "added_at", "path")
 
 
 @query("""select lower(v) as folded, min(v) as value from (select p_name as v from part union all select upper(p_name) from part) as x group by 1""")
-def facet_values_whole(spark: SparkSession, sf: str) -> DataFrame:
+def facet_values(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     return aggregates.facet_values(part.select(F.col("p_name").alias("value")), part.select(F.upper("p_name").alias("value"))).select(F.lower("value").alias("folded"), "value")

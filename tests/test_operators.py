@@ -512,3 +512,84 @@ def test_rings_and_taxonomies_of_large_tables(spark, tmp_path):
     (tmp_path / "t.yaml").write_text("m:\n" + "".join(f"  raw{i}: name{i}\n" for i in range(100_001)))
     with pytest.raises(ValueError, match="lines"):
         documents.taxonomy(spark, str(tmp_path / "t.yaml"))
+
+
+def test_loudness_and_further_descriptors():
+    from sonolith.operators import signal
+
+    rate = 48000
+    t = np.arange(rate * 5) / rate
+    tone = np.sin(2 * np.pi * 997 * t)
+    integrated, spread = signal.loudness(tone, tone, rate)
+    assert abs(integrated - 0.0) < 0.05 and spread < 0.1  # EBU Tech 3341: a full-scale tone on both channels
+    quiet, _ = signal.loudness(tone / 10, tone / 10, rate)
+    assert abs(integrated - quiet - 20) < 0.01
+    assert signal.loudness(np.zeros(rate), np.zeros(rate), rate) == (None, None)
+    steps = np.concatenate([tone[: rate * 4] * 0.1, tone[: rate * 4] * 0.01] * 4)
+    assert abs(signal.loudness(steps, steps, rate)[1] - 20) < 2
+    shifted = np.sin(2 * np.pi * rate / 4 * t + np.pi / 4)
+    assert abs(np.abs(shifted).max() - 2**-0.5) < 1e-6 and abs(signal.true_peak(shifted) - 1) < 0.02
+    rising = np.minimum(1.0, t / 0.5) * tone
+    assert abs(signal.attack(rising, rate) - 0.35) < 0.01
+    a440 = signal.describe(np.sin(2 * np.pi * 440 * t), rate)
+    assert int(np.argmax(a440["chroma"])) == 0 and a440["chroma"][0] > 0.95 and len(a440["mfcc"]) == 13
+    noise = signal.describe(np.random.default_rng(1).normal(size=rate) * 0.1, rate)
+    assert a440["harmonicity"] > 0.95 > 0.5 > noise["harmonicity"]
+    assert signal.describe(np.zeros(5000), rate)["integrated_lufs"] is None
+
+
+def test_long_series_stay_cheap(spark):
+    """8,000 beats of one file and 30,000 rows of one key take seconds: nothing is quadratic."""
+    import time
+
+    rng = np.random.default_rng(3)
+    beats = np.cumsum(0.5 + rng.normal(size=8000) * 0.01)
+    row = spark.createDataFrame([(beats.tolist(),)], "beats array<double>")
+    steps = np.diff(beats)
+    start = time.time()
+    got = row.select(rhythm.jitter(F.col("beats")).alias("j"), rhythm.grid_stability(F.col("beats")).alias("s"), rhythm.tempo_stability(F.col("beats")).alias("t"), rhythm.bar_lines(F.col("beats"), F.array(F.lit(0.5)), F.lit(4)).alias("b")).first()
+    assert time.time() - start < 10
+    assert abs(got["j"] - steps.std() / steps.mean()) < 1e-9 and got["s"] == 1.0 and len(got["b"]) == 2000
+    windows = [beats[(beats >= 60 * w) & (beats < 60 * w + 60)] for w in range(int(np.ceil(beats[-1] / 60)))]
+    tempos = [60 / ((w[-1] - w[0]) / (len(w) - 1)) for w in windows if len(w) > 1]
+    assert got["t"]["window_count"] == len(tempos) and abs(got["t"]["stddev_bpm"] - np.std(tempos)) < 1e-9
+    left = spark.range(30_000).select(F.lit(1).alias("k"), (F.col("id") * 1.0).alias("t"))
+    right = spark.range(30_000).select(F.lit(1).alias("k"), (F.col("id") + 0.5).alias("t"))
+    start = time.time()
+    found = intervals.asof(left, right, ["k"], "t", "a", "b").orderBy("t").collect()
+    assert time.time() - start < 20
+    assert found[0]["a"] is None and all(r["b"] == r["t"] + 0.5 and (r["a"] is None or r["a"] == r["t"] - 0.5) for r in found)
+
+
+def test_chains_to_the_guard(spark):
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000, 1001), (1001, 1000), (2000, 1999)]
+    got = {r["id"]: (r["root"], r["depth"]) for r in library.chain_depths(spark.createDataFrame(rows, "id long, follows long")).collect()}
+    assert all(got[i] == ((0, i) if i <= 256 else (None, None)) for i in range(300))
+    assert got[1000] == got[1001] == got[2000] == (None, None)
+    assert library.chain_depths(spark.createDataFrame([], "id long, follows long")).count() == 0
+
+
+def test_segment_documents_and_rhythm_stage(spark):
+    import json
+
+    from sonolith.operators import catalog
+
+    scores = F.create_map(F.lit("jazz"), F.lit(0.5))
+    rows = spark.createDataFrame([(1, True, True), (2, False, True), (3, True, False)], "segment_id long, music boolean, stem boolean")
+    slices = rows.select("segment_id", F.lit(7).alias("file_id"), F.lit(1.5).alias("duration_seconds"), F.lit(8000).alias("sample_rate"), F.struct(F.lit(1.0).alias("crest")).alias("dsp"), F.array(F.lit(0.1)).alias("embedding"), F.lit(None).cast("array<double>").alias("dclap_embedding"), F.struct(F.col("music").alias("is_music")).alias("content_gate"), F.col("stem").alias("stem_parent"), scores.alias("genre"), scores.alias("stem_instrument"))
+    got = {r["segment_id"]: json.loads(r["machine"]) for r in catalog.segment_machine(slices).collect()}
+    assert {k: ("genre" in v, "stem_instrument" in v) for k, v in got.items()} == {1: (True, True), 2: (False, False), 3: (True, False)}
+    even, rough = [0.5 * i for i in range(20)], [0.5 * i + (0.3 if i % 2 else 0.0) for i in range(20)]
+    files = spark.createDataFrame([(1, rough, [0.0], even, [0.5], 130.0), (2, even, [0.0], rough, [0.5], None), (3, None, None, None, None, None)], "id long, dbn_beats array<double>, dbn_downbeats array<double>, minimal_beats array<double>, minimal_downbeats array<double>, second_bpm double")
+    out = {r["id"]: r for r in rhythm.rhythm_stage(files).collect()}
+    assert (out[1]["grid_source"], out[1]["stability"], out[1]["downbeats"], round(out[1]["bpm_ratio"], 6)) == ("minimal", 1.0, [0.5], round(130 / 120, 6))
+    assert (out[2]["grid_source"], out[2]["stability_minimal"], round(out[2]["fitted_bpm"], 6), out[2]["bpm_ratio"], out[2]["ok"]) == ("dbn", -1.0, 120.0, None, True)
+    assert out[3]["ok"] is False and out[3]["bpm"] == 0.0
+
+
+def test_voices_fade_and_stop_with_their_source(spark):
+    voices = spark.createDataFrame([(1, 9, 0, 10, 6, 1.0, 1.0, False, False, 2, 0), (2, 9, 1, 12, 99, 0.5, 1.0, False, False, 0, 2), (3, 9, 2, 0, 4, 1.0, 1.0, True, False, 0, 0)], "id int, source int, lane int, start int, length int, gain double, lane_gain double, muted boolean, solo boolean, fade_in int, fade_out int")
+    samples = spark.createDataFrame([(9, i, 1.0) for i in range(4)], "source int, i int, value double")
+    got = {r["at"]: round(r["value"], 6) for r in library.mix_voices(voices, samples, "linear").collect()}
+    assert got == {10: 0.0, 11: 0.5, 12: 1.5, 13: 1.5, 14: 0.5, 15: 0.5}
+    assert library.mix_voices(voices.withColumn("solo", F.col("id") == 2), samples).agg(F.sum("value")).first()[0] == 2.0

@@ -28,10 +28,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonolith.llm.common import materialize, with_defaults
+from sonolith.llm.common import discard, materialize, with_defaults
 from sonolith.llm.textvec import _BYTE, Piece, pieces
 
 WORDS, SUFFIXES, CLASSES, ROUNDS = 1024, 512, 64, 4
@@ -198,55 +198,47 @@ def look_up(words: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, head[at] == words
 
 
-def contexts(texts: DataFrame, top: np.ndarray, top_item: np.ndarray, classes: np.ndarray, head: np.ndarray, wanted: np.ndarray, far: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Classes before and after the words that are to be clustered: at (place in head), slots; and, for far(word), word, slots.
-    slots is array<struct<slot, n>>: the class before, or CLASSES + 1 + the class after."""
+def contexts(texts: DataFrame, top: np.ndarray, top_item: np.ndarray, classes: np.ndarray, head: np.ndarray, wanted: np.ndarray, beyond: bool) -> DataFrame:
+    """Classes before and after words: key, far, slots (array<struct<slot, n>>). Of wanted words in the head the key is the place there, and a
+    slot is the class before, or CLASSES + 1 + the class after; of words beyond the head (far) it is the hash, and a slot, from SLOTS on, both classes."""
 
-    def counted(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pair, n = np.unique(pairs, return_counts=True)
-        for a in range(0, len(pair), 200_000):
-            yield pa.record_batch([pa.array(pair[a : a + 200_000].astype(np.int64)), pa.array(n[a : a + 200_000].astype(np.int64))], ["pair", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-    def slots(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-        before, after, _ = steps(piece, items(piece, top, top_item))
-        place = np.arange(len(piece.hash)) + piece.doc
-        return classes[before[place]], CLASSES + 1 + classes[after[place + 1]]
+        def rows(key: np.ndarray, slot: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(key), 200_000):
+                yield pa.record_batch([pa.array(key[a : a + 200_000]), pa.array(slot[a : a + 200_000].astype(np.int32)), pa.array(n[a : a + 200_000].astype(np.int32))], ["key", "slot", "n"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pair, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            yield from rows(pair // SLOTS, pair % SLOTS, n)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
         for batch in batches:
             for piece in pieces(batch.column(0)):
                 piece.words()
+                item = items(piece, top, top_item)
+                before, after, _ = steps(piece, item)
+                place = np.arange(len(item)) + piece.doc
+                left, right = classes[before[place]], classes[after[place + 1]]
                 at, known = look_up(piece.hash, head)
-                known &= wanted[at] if len(head) else False
-                for slot in slots(piece):
-                    held.append(at[known] * SLOTS + slot[known])
+                if beyond:
+                    pick = np.flatnonzero(~known)
+                    yield from rows(piece.hash[pick].view(np.int64), SLOTS + left[pick] * (CLASSES + 1) + right[pick], np.ones(len(pick), np.int32))
+                if len(head):
+                    known &= wanted[at]
+                held += [at[known] * SLOTS + left[known], at[known] * SLOTS + CLASSES + 1 + right[known]]
                 if sum(map(len, held)) > 4_000_000:
-                    yield from counted(np.concatenate(held))
-                    held.clear()
+                    yield from flush()
         if held:
-            yield from counted(np.concatenate(held))
+            yield from flush()
 
-    def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch.column(0)):
-                piece.words()
-                _, known = look_up(piece.hash, head)
-                pick = np.flatnonzero(~known)
-                if len(pick):
-                    both = [x[pick] for x in slots(piece)]
-                    yield pa.record_batch([pa.array(np.concatenate([piece.hash[pick]] * 2).view(np.int64)), pa.array(np.concatenate(both).astype(np.int32))], ["word", "slot"])
-
-    pairs = texts.select("text").mapInArrow(near, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    by_place = pairs.groupBy(F.floor(F.col("pair") / SLOTS).cast("long").alias("at")).agg(F.collect_list(F.struct((F.col("pair") % SLOTS).cast("int").alias("slot"), "n")).alias("slots"))
-    if far is None:
-        return by_place, None
-    rows = texts.select("text").mapInArrow(away, "word long, slot int").groupBy("word", "slot").agg(F.count(F.lit(1)).alias("n")).join(far, "word", "left_semi")
-    return by_place, rows.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
-
-
-def best_classes(found: DataFrame, key: str, moves: np.ndarray) -> DataFrame:
-    """found(key, slots) -> key, class: where the words' contexts are most likely given the class, by moves (counts of class bigrams)."""
+    found = texts.select("text").mapInArrow(run, "key long, slot int, n int").groupBy("key", "slot").agg(F.sum("n").alias("n"))
+    return found.groupBy("key", (F.col("slot") >= SLOTS).alias("far")).agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
+
+
+def best_classes(found: DataFrame, moves: np.ndarray) -> DataFrame:
+    """found(key, far, slots) -> key, far, class: where the words' contexts are most likely given the class, by moves (counts of class bigrams)."""
     smooth = moves + 0.5
     before = np.log(smooth / smooth.sum(axis=0, keepdims=True))[:, :CLASSES]  # P(class before | class)
     after = np.log(smooth / smooth.sum(axis=1, keepdims=True)).T[:, :CLASSES]  # P(class after | class)
@@ -254,18 +246,21 @@ def best_classes(found: DataFrame, key: str, moves: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             flat = lists.flatten()
             of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            slot, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            both = slot >= SLOTS
             table = np.zeros((batch.num_rows, SLOTS))
-            np.add.at(table, (of, flat.field(0).to_numpy()), flat.field(1).to_numpy())
-            yield pa.record_batch([batch.column(0), pa.array((table @ gain).argmax(axis=1).astype(np.int32))], [key, "class"])
+            np.add.at(table, (of, np.where(both, (slot - SLOTS) // (CLASSES + 1), slot)), n)
+            np.add.at(table, (of[both], CLASSES + 1 + (slot[both] - SLOTS) % (CLASSES + 1)), n[both])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array((table @ gain).argmax(axis=1).astype(np.int32))], ["key", "far", "class"])
 
-    return found.select(key, "slots").mapInArrow(run, f"{key} long, class int")
+    return found.select("key", "far", "slots").mapInArrow(run, "key long, far boolean, class int")
 
 
 def chains(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(row, doc_id, text) -> row, doc_id, n_tokens, known and counts (of words in the head), classes (a byte for each word), and the words
+    """docs(row, doc_id, text, learn) -> row, doc_id, learn, n_tokens, known and counts (of words in the head), classes (a byte for each word), and the words
     that aren't there, whose class is their group's so far: rest, rest_at (place in the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,61 +276,99 @@ def chains(docs: DataFrame, model: Model) -> DataFrame:
                 place = (np.arange(len(piece.hash)) - piece.first_word[piece.doc])[~known].astype(np.int32)
                 offsets = pa.py_buffer(piece.first_word.astype(np.int32))
                 classes = pa.BinaryArray.from_buffers(pa.binary(), piece.n, [None, offsets, pa.py_buffer(own)])
-                given = [batch.column(i).slice(piece.first, piece.n) for i in (0, 1)]
+                given = [batch.column(i).slice(piece.first, piece.n) for i in (0, 1, 3)]
                 rest = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (piece.hash[~known].view(np.int64), place)]
                 yield pa.record_batch(
                     [*given, pa.array(np.diff(piece.first_word) + 1), pa.array(np.bincount(piece.doc[known], minlength=piece.n)), pa.array(counts), classes, *rest],
-                    ["row", "doc_id", "n_tokens", "known", "counts", "classes", "rest", "rest_at"],
+                    ["row", "doc_id", "learn", "n_tokens", "known", "counts", "classes", "rest", "rest_at"],
                 )
 
-    return docs.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, counts double, classes binary, rest array<bigint>, rest_at array<int>")
+    return docs.mapInArrow(run, "row long, doc_id long, learn boolean, n_tokens long, known long, counts double, classes binary, rest array<bigint>, rest_at array<int>")
+
+
+def flat_list(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Bounds of each row's part of the flat values, and these; a null list is empty."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes)]), lists.flatten()
 
 
-def with_rest(part: DataFrame, rare: DataFrame) -> DataFrame:
-    """chains() with what the table of rare(word, n, class) has on their other words: rare_counts, rare_known, fills (place in rest, class)."""
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and bytes of a binary column."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return bounds - bounds[0], data[bounds[0] : bounds[-1]]
+
+
+def prepared(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """docs(doc_id, text, learn) and rare(word, n, class) -> doc_id, learn, n_tokens, n_known (but for the end), counts (sum of log10(count + 1)) and the
+    final classes (a byte for each word), written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, data = flat_bytes(batch.column(4))
+            out = data.copy()
+            rest, at = flat_list(batch.column(5))
+            fills, found = flat_list(batch.column(6))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(fills))
+            if len(row):
+                out[bounds[row] + at.to_numpy()[rest[row] + found.field(0).to_numpy()]] = found.field(1).to_numpy()
+            classes = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out)])
+            yield pa.record_batch([*(batch.column(i) for i in range(4)), classes], ["row", "n_tokens", "n_known", "counts", "classes"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("learn").cast("boolean").alias("learn"))
+    part = materialize(chains(rows, model), "lm-chains")
     hits = part.select("row", F.posexplode("rest").alias("place", "word")).join(rare, "word")
     fills = F.collect_list(F.when(F.col("class").isNotNull(), F.struct("place", "class"))).alias("fills")
     found = hits.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("rare_counts"), F.count(F.lit(1)).alias("rare_known"), fills)
-    return part.drop("rest").join(found, "row", "left")
+    both = part.drop("rest").join(found, "row", "left").select(
+        F.struct("row", "doc_id", "learn").alias("row"),
+        "n_tokens",
+        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        (F.col("counts") + F.coalesce("rare_counts", F.lit(0.0))).alias("counts"),
+        "classes",
+        F.when(F.size("fills") > 0, F.col("rest_at")).alias("rest_at"),
+        "fills",
+    )
+    filled = both.mapInArrow(run, "row struct<row: long, doc_id: long, learn: boolean>, n_tokens long, n_known long, counts double, classes binary")
+    out = materialize(filled.select("row.doc_id", "row.learn", "n_tokens", "n_known", "counts", "classes"), "lm-classes")
+    discard(part)
+    return out
 
 
-def final_classes(classes: bytes, rest_at: list[int], fills: list[dict] | None) -> np.ndarray:
-    """A text's classes with its end."""
-    out = np.append(np.frombuffer(classes, np.uint8), CLASSES).astype(np.int64)
-    if fills:
-        at = np.asarray(rest_at)
-        out[at[[f["place"] for f in fills]]] = [f["class"] for f in fills]
-    return out
+def chain_steps(bounds: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of neighbouring classes in each document, end to end: before, after, document."""
+    sizes = np.diff(bounds)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    after = np.full(len(data) + len(sizes), CLASSES, np.int64)
+    after[np.arange(len(data)) + doc] = data
+    before = np.empty_like(after)
+    before[1:] = after[:-1]
+    before[:1] = CLASSES
+    return before, after, np.repeat(np.arange(len(sizes)), sizes + 1)
 
 
-def class_moves(training: DataFrame, model: Model, far: DataFrame | None) -> np.ndarray:
-    """Counts of class bigrams over training texts, end to end."""
+def class_moves(classes: DataFrame) -> np.ndarray:
+    """Counts of class bigrams over classes(classes), end to end."""
     size = CLASSES + 1
-    part = chains(training.select(F.monotonically_increasing_id().alias("row"), F.lit(0).cast("long").alias("doc_id"), "text"), model)
-    if far is None:
-        part = part.withColumn("fills", F.lit(None).cast("array<struct<place: int, class: int>>"))
-    else:
-        part = with_rest(materialize(part, "lm-chains"), far.select("word", F.lit(0).cast("long").alias("n"), "class"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            chain = [np.array([CLASSES]), *(final_classes(*r) for r in rows)]
-            flat = np.concatenate(chain)
-            total += np.bincount(flat[:-1] * size + flat[1:], minlength=size * size)
+            before, after, _ = chain_steps(*flat_bytes(batch.column(0)))
+            total += np.bincount(before * size + after, minlength=size * size)
         pair = np.flatnonzero(total)
         yield pa.record_batch([pa.array(pair.astype(np.int32)), pa.array(total[pair])], ["pair", "n"])
 
-    slim = part.select("classes", F.when(F.col("fills").isNotNull(), F.col("rest_at")).alias("rest_at"), "fills")
-    found = slim.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = classes.select("classes").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size, np.int64)
     out[found["pair"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(size, size)
 
 
-def fit(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of training(text), and the table of word counts and classes that scoring joins."""
+def fit_words(training: DataFrame) -> tuple[Model, DataFrame]:
+    """Counts and classes of the words of training(text): the model without transitions, and the table of words beyond the head."""
     texts = with_defaults(training, text="string")
     ends = texts.count()
     table = materialize(word_counts(texts).withColumn("band", F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")), "word-counts")
@@ -354,66 +387,78 @@ def fit(training: DataFrame) -> tuple[Model, DataFrame]:
     matrix = item_bigrams(texts, top, top_item)
     classes = exchange(matrix)
     member = np.eye(CLASSES + 1)[classes]
-    moves = member.T @ matrix @ member
     # every other word that is not too rare goes where its own contexts fit best
     groups = classes[WORDS : WORDS + SUFFIXES]
     wanted = count >= FLOOR
     wanted[pick] = False
     beyond = any(b["band"] < least and b["most"] >= FLOOR for b in bands)
-    far = table.where((F.col("band") < least) & (F.col("n") >= FLOOR)).select("word") if beyond else None
-    by_place, by_word = contexts(texts, top, top_item, classes, head, wanted, far)
+    classed = best_classes(contexts(texts, top, top_item, classes, head, wanted, beyond), member.T @ matrix @ member)
+    classed = materialize(classed, "word-classes")
     head_class = groups[suffix]
-    head_class[pick] = classes[:WORDS][: len(pick)]
-    if wanted.any():
-        own = best_classes(by_place, "at", moves).toArrow()
-        head_class[own["at"].to_numpy()] = own["class"].to_numpy()
-    rare = table.where(F.col("band") < least).select("word", "suffix", "n")
-    if by_word is not None:
-        classed = materialize(best_classes(by_word, "word", moves), "far-classes")
-        rare = materialize(rare.join(classed, "word", "left"), "rare-words")
-    else:
-        classed, rare = None, rare.withColumn("class", F.lit(None).cast("int"))
-    model = Model(groups, np.zeros((CLASSES + 1, CLASSES + 1)), np.zeros(CLASSES + 1), head, count, head_class, 0, 0, ends)
-    moves = class_moves(texts, model, classed)
-    into = moves.sum(axis=0)
-    lower = (into + 1) / (into.sum() + CLASSES + 1)
-    followers = np.maximum((moves > 0).sum(axis=1, keepdims=True), 1)
-    model.transitions = np.log10((moves + followers * lower) / (moves.sum(axis=1, keepdims=True) + followers))
+    head_class[pick] = classes[: len(pick)]
+    own = classed.where("not far").toArrow()
+    head_class[own["key"].to_numpy()] = own["class"].to_numpy()
+    rare = table.where(F.col("band") < least).join(classed.where("far").select(F.col("key").alias("word"), F.col("class").alias("own")), "word", "left")
+    rare = materialize(rare.select("word", "suffix", "n", F.when(F.col("n") >= FLOOR, F.col("own")).alias("class")), "rare-words")
     weight = np.bincount(head_class, count + 1.0, minlength=CLASSES + 1)
     for r in rare.groupBy("class", F.when(F.col("class").isNull(), F.col("suffix")).alias("suffix")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
         weight[groups[r["suffix"]] if r["class"] is None else r["class"]] += r["n"]
-    model.norms = np.log10(weight + 1)
-    model.norms[CLASSES] = 0.0
-    model.tokens, model.types = int(sum(b["tokens"] for b in bands) + ends), int(sum(b["types"] for b in bands) + (ends > 0))
-    return model, rare.select("word", "n", "class")
+    norms = np.log10(weight + 1)
+    norms[CLASSES] = 0.0
+    tokens, types = int(sum(b["tokens"] for b in bands) + ends), int(sum(b["types"] for b in bands) + (ends > 0))
+    return Model(groups, np.zeros((CLASSES + 1, CLASSES + 1)), norms, head, count, head_class, tokens, types, ends), rare.select("word", "n", "class")
 
 
-def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+def transitions(moves: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before), Witten-Bell."""
+    into = moves.sum(axis=0)
+    lower = (into + 1) / (into.sum() + CLASSES + 1)
+    followers = np.maximum((moves > 0).sum(axis=1, keepdims=True), 1)
+    return np.log10((moves + followers * lower) / (moves.sum(axis=1, keepdims=True) + followers))
+
+
+def fit(training: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of training(text), and the table of word counts and classes that scoring joins."""
+    model, rare = fit_words(training)
+    texts = with_defaults(training, text="string").select(F.lit(0).alias("doc_id"), "text", F.lit(True).alias("learn"))
+    model.transitions = transitions(class_moves(prepared(texts, model, rare)))
+    return model, rare
+
+
+def scores(classes: DataFrame, model: Model) -> DataFrame:
+    """prepared() -> doc_id, learn, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
-            chain = np.zeros(batch.num_rows)
-            for i, r in enumerate(rows):
-                after = final_classes(*r)
-                before = np.append(CLASSES, after[:-1])
-                chain[i] = (model.transitions[before, after] - model.norms[after]).sum()
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(chain), *(batch.column(i) for i in range(5, 10))], ["row", "doc_id", "chain", "n_tokens", "known", "counts", "rare_counts", "rare_known"])
-
-    rows = with_defaults(docs, doc_id="long", text="string").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    part = with_rest(materialize(chains(rows, model), "lm-chains"), rare)
-    slim = part.select("row", "doc_id", "classes", F.when(F.size("fills") > 0, F.col("rest_at")).alias("rest_at"), "fills", "n_tokens", "known", "counts", "rare_counts", "rare_known")
-    scored = slim.mapInArrow(run, "row long, doc_id long, chain double, n_tokens long, known long, counts double, rare_counts double, rare_known long")
+            before, after, doc = chain_steps(*flat_bytes(batch.column(5)))
+            chain = np.bincount(doc, model.transitions[before, after] - model.norms[after], minlength=batch.num_rows).astype(np.float64)
+            yield pa.record_batch([*(batch.column(i) for i in range(5)), pa.array(chain)], ["doc_id", "learn", "n_tokens", "n_known", "counts", "chain"])
+
+    found = classes.select("doc_id", "learn", "n_tokens", "n_known", "counts", "classes").mapInArrow(run, "doc_id long, learn boolean, n_tokens long, n_known long, counts double, chain double")
     end = float(np.log10(model.ends + 1.0))
-    counts = F.col("counts") + F.coalesce("rare_counts", F.lit(0.0))
-    total = F.col("chain") + counts
-    return scored.select(
+    total = F.col("chain") + F.col("counts")
+    return found.select(
         "doc_id",
+        "learn",
         "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0)) + (1 if model.ends else 0)).alias("n_known"),
+        (F.col("n_known") + (1 if model.ends else 0)).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (counts + end - F.col("n_tokens") * float(np.log10(model.tokens + model.types + 1.0))).alias("base_score"),
+        (F.col("counts") + end - F.col("n_tokens") * float(np.log10(model.tokens + model.types + 1.0))).alias("base_score"),
         total.alias("score"),
         F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )
+
+
+def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    rows = with_defaults(docs, doc_id="long", text="string").withColumn("learn", F.lit(False))
+    return scores(prepared(rows, model, rare), model).drop("learn")
+
+
+def fit_and_score(docs: DataFrame, learn: Column) -> DataFrame:
+    """Learns from the rows where `learn` holds and scores all, with one pass for what both need; as score(), with `learn`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learn.alias("learn"))
+    model, rare = fit_words(rows.where("learn"))
+    classes = prepared(rows, model, rare)
+    model.transitions = transitions(class_moves(classes.where("learn")))
+    return scores(classes, model)

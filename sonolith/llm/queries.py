@@ -49,11 +49,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    apart = langid.held_out(fold=2, folds=7)
-    model, rare = classlm.fit(docs.where(~apart))
-    scored = classlm.score(docs, model, rare)
-    return scored.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    scored = classlm.fit_and_score(table(spark, sf_dir, "documents"), ~langid.held_out(fold=2, folds=7))
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -463,6 +463,9 @@ def test_class_lm(rows, docs, empty, monkeypatch):
         want[r[0], len(w), sum(train[x] > 0 for x in w), n, round(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w), 6)] += 1
     assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    one = classlm.fit_and_score(docs, ~apart)
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["learn"], round(r["score"], 6)) for r in one.collect()) == Counter((r["doc_id"], r["n_tokens"], r["n_known"], not held(r["doc_id"]), round(r["score"], 6)) for r in got)
+    assert classlm.fit_and_score(empty, ~apart).count() == 0
     model, rare = classlm.fit(empty)
     assert all(r["base_score"] == 0 and r["n_known"] == 0 for r in classlm.score(docs, model, rare).collect())
     assert classlm.score(empty, model, rare).count() == 0
@@ -508,8 +511,9 @@ def test_class_lm_beyond_the_head(spark, monkeypatch):
 def test_words_go_where_their_contexts_fit(spark):
     moves = np.ones((classlm.CLASSES + 1, classlm.CLASSES + 1))
     moves[3, 7] = moves[7, 5] = 500.0
-    found = spark.createDataFrame([(1, [(3, 2), (classlm.CLASSES + 1 + 5, 2)])], "word long, slots array<struct<slot: int, n: long>>")
-    assert classlm.best_classes(found, "word", moves).first()["class"] == 7
+    both = classlm.SLOTS + 3 * (classlm.CLASSES + 1) + 5
+    found = spark.createDataFrame([(1, False, [(3, 2), (classlm.CLASSES + 1 + 5, 2)]), (2, True, [(both, 1)])], "key long, far boolean, slots array<struct<slot: int, n: long>>")
+    assert [r["class"] for r in classlm.best_classes(found, moves).collect()] == [7, 7]
 
 
 def test_exchange_raises_likelihood():

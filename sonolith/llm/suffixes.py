@@ -9,16 +9,21 @@ therefore finds what a sort of all suffixes would find.
 1. Each different text posts a hash of the LENGTH - SPAN + 1 bytes at its anchors. Anchors whose hash no other anchor has are
    done; only texts with others go on. Texts that occur more than once are wholly repeated, and go on once.
 2. Texts are cut into runs. A run's suffixes are sorted, equal contexts combined (with their places), and the run is exchanged
-   front-coded: the length shared with the suffix before, and the rest. Ranges of the sort order are bounded by sampled
-   32-byte prefixes, so suffixes that share more stay together.
+   front-coded: the length shared with the suffix before, and the rest. Ranges of the sort order hold about RANGE_BYTES and are bounded by sampled
+   96-byte prefixes, so suffixes that share more stay together.
 3. Each range merges its runs with a loser tree whose entries know their common prefix with the last output. Two entries with
    different common prefixes are ordered without a look at their bytes; equal ones are compared from that byte on. The
    tree so gives the common prefix of neighbours too.
 4. Neighbours that share LENGTH - SPAN + 1 bytes or more make a group; from the common prefixes to the right and the common
    suffixes to the left follow the offsets at which a window occurs in two entries, and from them the bytes to remove.
+5. A passage in a large part of all documents gives a hot key (more than HOT anchors), which no range could hold. Equal windows have equal keys,
+   so hot keys are closed: their occurrences are counted by context (a 128-bit hash; a context that occurs twice is repeated whole), the
+   different contexts' windows by a 128-bit hash each, with sums before every shuffle, and what is repeated goes back to the occurrences by a join that
+   Spark can split. So no task holds more than HOT suffixes of one passage.
 
 Nulls and odd input: a null text is empty; a text shorter than LENGTH is kept whole; repeated rows count as other
-places, so both are removed; null doc_ids come out row for row. An empty table gives an empty result. Extra columns are not read.
+places, so both are removed; null doc_ids come out row for row; a very long text is held whole by its task, with some 60 bytes of working
+arrays for each of its bytes. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +42,11 @@ from sonolith.llm.textvec import _BYTE, Piece, pieces
 
 LENGTH, SPAN, GRAM = 400, 184, 16
 SHARED = LENGTH - SPAN + 1
-PREFIX = 32
+PREFIX = 96
+#: Occurrences beyond which an anchor's key is hot: its windows are counted by their hashes instead of merged in one range.
+HOT = 50_000
+#: Bytes of contexts in a range, and the most ranges (their bounds travel with the tasks).
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 16
 #: Bytes of context in a run.
 RUN_BYTES = 16 << 20
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -51,7 +60,7 @@ def anchors(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         return none, none, none, np.zeros(0, np.uint64)
     sums = piece.prefix(_BYTE[piece.data])
     at = np.arange(n - GRAM + 1)
-    bits = np.uint64(int(n).bit_length())
+    bits = np.uint64(32)  # of the hash as many in every piece, whatever its length; ties go by place, as they do wherever the window stands
     best = (piece.spans(sums, at, at + GRAM) >> bits << bits) | at.astype(np.uint64)
     width = 1
     while width * 2 <= SPAN:
@@ -296,6 +305,78 @@ def sorted_runs(texts: DataFrame, cuts: list[bytes]) -> DataFrame:
     return texts.select("node", "text", "keys").mapInArrow(run, "part int, block binary")
 
 
+_SECOND = _BYTE[::-1] ^ np.uint64(0x9E3779B97F4A7C15)
+
+
+def hot_occurrences(texts: DataFrame) -> DataFrame:
+    """texts(node, text, hot) -> node, at, one, two (hash of the context), low, high, body (the context's bytes; null where a task has given them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
+        for batch in batches:
+            nodes, wanted = batch.column(0).to_numpy(), batch.column(2)
+            for piece in pieces(batch.column(1)):
+                place, first, last, keys = anchors(piece)
+                sums = [piece.prefix(table[piece.data]) for table in (_BYTE, _SECOND)]
+                raw = piece.data.tobytes()
+                bounds = np.searchsorted(place, piece.offs)
+                for i in range(piece.n):
+                    own = np.asarray(wanted[piece.first + i].values, np.int64)
+                    pick = np.flatnonzero(np.isin(keys[bounds[i] : bounds[i + 1]].view(np.int64), own)) + bounds[i]
+                    if not len(pick):
+                        continue
+                    low, high = place[pick] - last[pick], place[pick] - first[pick]
+                    begin, end = first[pick], last[pick] + LENGTH
+                    salt = (low * 512 + high).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+                    one, two = ((piece.spans(x, begin, end) ^ salt).view(np.int64) for x in sums)
+                    bodies = []
+                    for j, key in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+                        bodies.append(None if key in given else raw[begin[j] : end[j]])
+                        given.add(key)
+                    if len(given) > 100_000:
+                        given.clear()
+                    node = np.full(len(pick), nodes[piece.first + i])
+                    columns = [node, place[pick] - piece.offs[i], one, two, low, high]
+                    yield pa.record_batch([*(pa.array(x.astype(np.int64)) for x in columns), pa.array(bodies, pa.binary())], ["node", "at", "one", "two", "low", "high", "body"])
+
+    return texts.select("node", "text", "hot").mapInArrow(run, "node long, at long, one long, two long, low long, high long, body binary")
+
+
+def hot_windows(contexts: DataFrame) -> DataFrame:
+    """contexts(one, two, low, high, body) -> one, two, offset, w1, w2: the hash of each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two, low, high, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = np.frombuffer(body, np.uint8)
+                piece = Piece(0, data, np.array([0, len(data)]))
+                offset = np.arange(low, high + 1)
+                begin = high - offset
+                hashes = [piece.spans(piece.prefix(table[data]), begin, begin + LENGTH).view(np.int64) for table in (_BYTE, _SECOND)]
+                same = [pa.array(np.full(len(offset), x, np.int64)) for x in (one, two)]
+                yield pa.record_batch([*same, pa.array(offset), *map(pa.array, hashes)], ["one", "two", "offset", "w1", "w2"])
+
+    return contexts.select("one", "two", "low", "high", "body").mapInArrow(run, "one long, two long, offset long, w1 long, w2 long")
+
+
+def hot_repeats(texts: DataFrame) -> DataFrame:
+    """texts(node, text, hot: hot keys) -> node, first, last: bytes to remove."""
+    found = materialize(hot_occurrences(texts), "hot-occurrences")
+    contexts = found.groupBy("one", "two", "low", "high").agg(F.count(F.lit(1)).alias("n"), F.first("body", ignorenulls=True).alias("body"))
+    contexts = materialize(contexts, "hot-contexts")
+    windows = materialize(hot_windows(contexts), "hot-windows")
+    twice = materialize(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hot-twice")
+    offsets = windows.join(twice, ["w1", "w2"]).groupBy("one", "two").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
+    begin = F.filter("offsets", lambda x, i: (i == 0) | (F.get("offsets", i - 1) != x - 1))
+    end = F.filter("offsets", lambda x, i: (i == F.size("offsets") - 1) | (F.get("offsets", i + 1) != x + 1))
+    parts = offsets.select("one", "two", F.arrays_zip(begin.alias("a"), end.alias("b")).alias("runs"))
+    whole = F.array(F.struct(F.col("low").alias("a"), F.col("high").alias("b")))
+    runs = contexts.join(parts, ["one", "two"], "left").select("one", "two", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
+    runs = materialize(runs, "hot-runs")
+    spans = found.select("node", "at", "one", "two").join(runs, ["one", "two"]).select("node", "at", F.explode("runs").alias("r"))
+    return spans.select("node", (F.col("at") - F.col("r.b")).alias("first"), (F.col("at") - F.col("r.a") + LENGTH).alias("last"))
+
+
 def merged_repeats(runs: DataFrame) -> DataFrame:
     """part, block -> node, first, last: bytes to remove."""
 
@@ -373,22 +454,27 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = found.groupBy("sha").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
     named = materialize(texts.join(found.select("row", "doc_id", "n_bytes", "keys"), F.col("node") == F.col("row")).drop("row"), "texts")
     posted = named.select("node", F.explode("keys").alias("key"))
-    often = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = posted.join(often, "key").groupBy("node").agg(F.collect_set("key").alias("keys"))
+    often = materialize(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    sums = often.agg(F.max("n"), F.sum(F.when(F.col("n") <= HOT, F.col("n")))).first()
+    is_hot = F.col("n") > HOT
+    wanted = posted.join(often, "key").groupBy("node").agg(F.collect_set(F.when(~is_hot, F.col("key"))).alias("keys"), F.collect_set(F.when(is_hot, F.col("key"))).alias("hot"))
     wanted = named.drop("keys").join(wanted, "node")
     source = with_defaults(docs, doc_id="long", text="string").withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     source = source.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    wanted = wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("sha", "doc_id", "node", "keys", "copies")
-    chosen = source.join(wanted, ["sha", "doc_id"]).select("node", "text", "keys", "copies")
+    wanted = wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("sha", "doc_id", "node", "keys", "hot", "copies")
+    chosen = source.join(wanted, ["sha", "doc_id"]).select("node", "text", "keys", "hot", "copies")
     chosen = materialize(chosen, "candidates")
     # rows that repeat both id and text come twice; each text is a source of suffixes once
     single = chosen.where("copies = 1").unionByName(chosen.where("copies > 1").dropDuplicates(["node"]))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, 8)
+    contexts = (sums[1] or 0) * (LENGTH + SPAN)
+    parts = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, 8, -(-contexts // RANGE_BYTES)))
     n = max(named.count(), 1)
-    share = min(1.0, 64 * parts / n)
+    share = min(1.0, max(16 * parts, min(64 * parts, 1 << 18)) / n)
     sample = sorted(bytes(r["sample"]) for r in found.where("sample is not null").where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("sample").collect())
     cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
-    spans = merged_repeats(sorted_runs(single, cuts))
+    spans = merged_repeats(sorted_runs(single.where(F.size("keys") > 0), cuts))
+    if (sums[0] or 0) > HOT:
+        spans = spans.unionByName(hot_repeats(single.where(F.size("hot") > 0)))
     listed = spans.groupBy("node").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     cut = cut_texts(chosen.where("copies = 1").select("node", "text").join(listed, "node").select("node", "text", "spans"))
     by_text = named.select("sha", "node", "copies").join(cut, "node", "left")

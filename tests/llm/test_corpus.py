@@ -157,6 +157,33 @@ def test_suffix_dedup(rows, docs, empty):
     assert suffixes.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [50_000, 1, 6])
+def test_suffix_dedup_of_hot_passages(spark, monkeypatch, hot):
+    """A passage in many documents, cut at different places, and a periodic text, against every window's bytes; hot keys and merged ranges alike."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    passage, other = text(1300), text(900)
+    texts = []
+    for i in range(40):
+        a, b = (0, 1300) if i % 3 else sorted(rng.sample(range(1300), 2))
+        texts.append(text(rng.randrange(300)) + passage[a:b] + text(rng.randrange(300)) + (other[:700] if i % 4 == 0 else other[200:] if i % 4 == 1 else ""))
+    texts += ["xyz " * 400, "xyz " * 101 + text(50), text(2000), "", passage, passage, "é" * 300 + passage[:500]]
+    raw = [t.encode() for t in texts]
+    seen = Counter(r[i : i + 400] for r in raw for i in range(len(r) - 399))
+    want = {}
+    for d, r in enumerate(raw):
+        gone = np.zeros(len(r) + 1, bool)
+        for i in range(len(r) - 399):
+            if seen[r[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        gone = gone[: len(r)]
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) > 0).sum())
+        want[d] = (len(r), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(r, gone, strict=True) if not g)).hexdigest())
+    got = suffixes.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
 def test_suffix_runs_merge_in_order():
     rng = random.Random(3)
     every, blocks = [], []

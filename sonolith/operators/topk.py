@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +18,14 @@ def distances(vectors: DataFrame, query: list[float], id_col: str = "id", vector
     """Euclidean distance of each vector to one query, in double precision, by Arrow batches. Vectors of another length are dropped."""
     wanted = np.asarray(query, np.float64)
 
-    @F.pandas_udf("double")
-    def distance(batch: pd.Series) -> pd.Series:
-        table = np.stack(batch.to_numpy()).astype(np.float64) if len(batch) else np.zeros((0, len(wanted)))
-        return pd.Series(np.sqrt(((table - wanted) ** 2).sum(axis=1)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # all vectors have one length, so the batch's flat values are the matrix
+            table = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(wanted))
+            yield pa.record_batch([batch.column(0), pa.array(np.sqrt(((table - wanted) ** 2).sum(axis=1)))], ["id", "distance"])
 
-    return vectors.where(F.size(vector_col) == len(query)).select(F.col(id_col).alias("id"), distance(vector_col).alias("distance"))
+    rows = vectors.where(F.size(vector_col) == len(query)).select(F.col(id_col).alias("id"), vector_col)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, distance double")
 
 
 def knn(vectors: DataFrame, query: list[float], k: int = 10, exclude: int | None = None, id_col: str = "id", vector_col: str = "v") -> DataFrame:

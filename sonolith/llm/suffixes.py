@@ -45,6 +45,7 @@ SHARED = LENGTH - SPAN + 1
 PREFIX = 96
 #: Occurrences beyond which an anchor's key is hot: its windows are counted by their hashes instead of merged in one range.
 HOT = 50_000
+BROADCAST_BYTES = 32 << 20
 #: Bytes of contexts in a range, and the most ranges (their bounds travel with the tasks).
 RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 16
 #: Bytes of context in a run.
@@ -373,7 +374,9 @@ def hot_repeats(texts: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.col("low").alias("a"), F.col("high").alias("b")))
     runs = contexts.join(parts, ["one", "two"], "left").select("one", "two", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs")).where("runs is not null")
     runs = materialize(runs, "hot-runs")
-    spans = found.select("node", "at", "one", "two").join(runs, ["one", "two"]).select("node", "at", F.explode("runs").alias("r"))
+    # a few runs of some 16 bytes a context: broadcast below the measured bound, else a join whose hot contexts Spark splits
+    small = (runs.agg(F.sum(F.size("runs") * 16 + 48)).first()[0] or 0) <= BROADCAST_BYTES
+    spans = found.select("node", "at", "one", "two").join(F.broadcast(runs) if small else runs, ["one", "two"]).select("node", "at", F.explode("runs").alias("r"))
     return spans.select("node", (F.col("at") - F.col("r.b")).alias("first"), (F.col("at") - F.col("r.a") + LENGTH).alias("last"))
 
 

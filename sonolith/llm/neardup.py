@@ -131,9 +131,10 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY) -> D
     lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", F.struct("weight", -F.col("node"))).alias("leader")).where("n > 1")
     posts = materialize(posts.join(lists, "key").select("key", "node", "n", "leader"), "posts")
     wanted = materialize(nodes.join(posts.select("node").distinct(), "node", "left_semi"), "candidates")
-    full = materialize(shingle_sets(docs, wanted.select("node", "doc_id", "mark1", "mark2"), shingle), "shingle-sets")
+    full = shingle_sets(docs, wanted.select("node", "doc_id", "mark1", "mark2"), shingle)
+    full = materialize(full.join(wanted.select("node", "signature"), "node"), "shingle-sets")
     links = confirmed(colliding(short_pairs(posts), wanted, similarity), full, similarity)
-    led = materialize(against_leaders(posts, wanted, full, similarity), "against-leaders")
+    led = materialize(against_leaders(posts, full, similarity), "against-leaders")
     links = materialize(links.union(led.where("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))), "confirmed")
     labels = components(links)
     far = materialize(far_pairs(led, labels, similarity), "far-pairs")
@@ -162,12 +163,13 @@ def colliding(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
     return sized.where((100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (F.size(F.array_intersect("ka", "kb")) >= MATCHES)).select("a", "b")
 
 
-def against_leaders(posts: DataFrame, nodes: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
-    """Members of long lists against their leaders: node, leader, n, leader_n, linked (by collisions and full sets), differences."""
+def against_leaders(posts: DataFrame, full: DataFrame, similarity: int) -> DataFrame:
+    """Members of long lists against their leaders: node, leader, n, leader_n, linked (by collisions and full sets), differences. full(node, shingles,
+    signature) is a written table, so that the members of one leader can be split."""
     edges = posts.where((F.col("n") > SHORT) & (F.col("node") != F.col("leader"))).select("node", "leader").distinct()
-    sides = full.join(nodes.select("node", "signature"), "node")
-    heads = sides.select(F.col("node").alias("leader"), F.col("shingles").alias("leader_set"), F.col("signature").alias("leader_signature"))
-    both = edges.join(sides, "node").join(heads, "leader")
+    heads = full.select(F.col("node").alias("leader"), F.col("shingles").alias("leader_set"), F.col("signature").alias("leader_signature"))
+    members = edges.join(full, "node").select("node", "leader", "shingles", "signature")
+    both = members.join(heads, "leader")
     collisions = F.size(F.array_intersect("signature", "leader_signature"))
     shared = F.size(F.array_intersect("shingles", "leader_set"))
     return both.select(

@@ -532,10 +532,10 @@ def mixed_voices(spark: SparkSession, sf: str) -> DataFrame:
     return library.mix_voices(voices, samples).select("at", F.round("value", 3).alias("value"))
 
 
-@query("""select o_custkey % 50 as "at", round(sum(o_totalprice * 0.25), 2) as value from orders where o_orderstatus = 'F' and o_orderkey % 2 = 0 group by 1""")
+@query("""select o_custkey % 50 as "at", round(sum(o_totalprice * 0.25), 4) as value from orders where o_orderstatus = 'F' and o_orderkey % 2 = 0 group by 1""")
 def mixed_down(spark: SparkSession, sf: str) -> DataFrame:
     rows = _named(table(spark, sf, "orders"), block_id="o_orderkey", lane="0", lane_gain="0.5D", gain="0.5D", muted="o_orderstatus <> 'F'", solo="o_orderkey % 2 = 0", at="o_custkey % 50", value="cast(o_totalprice as double)")
-    return library.mixdown(rows).select("at", F.round("value", 2).alias("value"))
+    return library.mixdown(rows).select("at", F.round("value", 4).alias("value"))
 
 
 @query("""select id, round(case when "start" >= 10 then 4 + ("start" - 4) % 6 else "start" end, 6) as t, id + 1 as child, round(("start") - ("start" + case when id % 3 = 0 then 0.5 else 0 end), 6) as drift from segments""".replace(', id + 1 as child, round(("start") - ("start" + case when id % 3 = 0 then 0.5 else 0 end), 6) as drift', ""), "segments")

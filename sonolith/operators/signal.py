@@ -183,11 +183,11 @@ def descriptors(mono: pd.Series, rate: pd.Series) -> pd.DataFrame:
     return found.astype({n: "float64" for n in DESCRIPTORS if n not in _KINDS})
 
 
-def mel_filters(rate: int, size: int = FRAME, bands: int = MEL_BANDS) -> np.ndarray:
-    """Triangular filters, evenly spaced on Slaney's scale up to 11 kHz or half the rate."""
+def mel_filters(rate: int, size: int = FRAME, bands: int = MEL_BANDS, top: float = MEL_TOP) -> np.ndarray:
+    """Triangular filters, evenly spaced on Slaney's scale up to `top` or half the rate."""
     step = math.log(6.4) / 27
     to_mel = lambda f: f * 3 / 200 if f < 1000 else 15 + math.log(f / 1000) / step
-    mels = np.linspace(0, to_mel(min(MEL_TOP, rate / 2 - 1)), bands + 2)
+    mels = np.linspace(0, to_mel(min(top, rate / 2 - 1)), bands + 2)
     hz = np.where(mels < 15, mels * 200 / 3, 1000 * np.exp(step * (mels - 15)))
     at = np.fft.rfftfreq(size, 1 / rate)
     up = (at - hz[:-2, None]) / (hz[1:-1] - hz[:-2])[:, None]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.operators import aggregates, captions, catalog, dml, intervals, library, models, predicates, rhythm, signal, topk
+from sonolith.operators import aggregates, captions, catalog, dml, frontends, harmony, intervals, library, models, predicates, rhythm, signal, topk
 from sonolith.plans import views
 from sonolith.plans.queries import query, r6
 from sonolith.plans.views import table, view
@@ -381,7 +383,7 @@ def segment_machines(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.segment_machine(rows).select("segment_id", has("embedding").alias("has_embedding"), has("genre").alias("has_genre"), has("stem_instrument").alias("has_stem"))
 
 
-@query("select id, round(pow(10, (-12 - loudness - 3.010299956639812) / 20), 6) as gain from files", "files")
+@query("select id, round(pow(10, (-12 - (loudness - 3.010299956639812)) / 20), 6) as gain from files", "files")
 def loudness_gains(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "files").select("id", r6(models.gain_to_loudness(F.col("loudness"))).alias("gain"))
 
@@ -683,3 +685,34 @@ def sample_descriptors(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_discount"))), lambda x: (x["l_discount"] * 10).cast("double") - 0.5).alias("v"))
     rows = rows.withColumn("v", F.flatten(F.array_repeat("v", 8)))
     return rows.select("id", signal.descriptors("v", F.lit(2000)).alias("d")).select("id", "d.*")
+
+
+_TRIADS = """select cast(s_suppkey as bigint) as id, cast(s_suppkey % 12 as int) as root, s_suppkey % 24 >= 12 as minor from supplier"""
+
+
+def _triads(spark: SparkSession, sf: str) -> DataFrame:
+    """A second of a triad for each supplier: three notes with two overtones at 4 kHz."""
+    rows = _named(table(spark, sf, "supplier"), id="s_suppkey", root="cast(s_suppkey % 12 as int)", third="case when s_suppkey % 24 >= 12 then 3 else 4 end")
+    hz = lambda note: 440 * F.pow(F.lit(2.0), (F.col("root") + note - 21) / 12)
+    parts = [(hz(note), k) for note in (F.lit(0), F.col("third"), F.lit(7)) for k in (1, 2, 3)]
+    wave = F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: sum((F.sin(2 * math.pi * k * f * i / 4000) / (10 * k) for f, k in parts), F.lit(0.0)))
+    return rows.select("id", wave.alias("mono"), F.lit(4000).alias("rate"))
+
+
+@query(
+    f"""select id, ['C', 'D flat', 'D', 'E flat', 'E', 'F', 'G flat', 'G', 'A flat', 'A', 'B flat', 'B'][root + 1] || case when minor then ' minor' else ' major' end as key,
+    ['C', 'C#', 'D', 'Eb', 'E', 'F', 'F#', 'G', 'Ab', 'A', 'Bb', 'B'][root + 1] || case when minor then 'm' else '' end as chord, cast(1 as bigint) as n_chords from ({_TRIADS})"""
+)
+def detected_harmony(spark: SparkSession, sf: str) -> DataFrame:
+    found = _triads(spark, sf).select("id", harmony.detected_key("mono", "rate").alias("k"), harmony.detected_chords("mono", "rate").alias("c"))
+    return found.select("id", F.col("k.key").alias("key"), F.col("c")[0]["chord"].alias("chord"), F.size("c").cast("long").alias("n_chords"))
+
+
+@query("""select cast(s_suppkey as bigint) as id, cast(0 as bigint) as patches, cast(1 as bigint) as segments, cast(128 * 1001 as bigint) as segment_size, cast(1 as bigint) as chunks,
+    cast(64 * 100 as bigint) as chunk_size, cast(1 as bigint) as windows, cast(16000 as bigint) as window_size from supplier""")
+def model_input_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """What each model takes of a second of sound: no patch, one padded segment, one chunk, one window."""
+    of = {"patches": "effnet_patch", "segments": "dclap", "chunks": "content_gate", "windows": "stem_instrument"}
+    found = _triads(spark, sf).select("id", *[F.transform(frontends.model_inputs(kind)("mono", "rate"), lambda x: F.size(x)).alias(n) for n, kind in of.items()])
+    size = lambda n: F.col(n)[0].cast("long")
+    return found.select("id", *[F.size(n).cast("long").alias(n) for n in of], size("segments").alias("segment_size"), size("chunks").alias("chunk_size"), size("windows").alias("window_size"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from sonolith.functions import scalars as fn
-from sonolith.operators import aggregates, captions, catalog, cues, dml, intervals, library, models, predicates, rhythm, signal, topk
+from sonolith.operators import aggregates, captions, catalog, cues, dml, frontends, harmony, intervals, library, models, predicates, rhythm, signal, topk
 from sonolith.sources import documents, files
 from sonolith.streaming import streams
 
@@ -538,6 +538,51 @@ def test_loudness_and_further_descriptors():
     assert signal.describe(np.zeros(5000), rate)["integrated_lufs"] is None
 
 
+def triad(root, third, seconds, rate=8000):
+    t = np.arange(int(seconds * rate)) / rate
+    return sum(np.sin(2 * np.pi * 440 * 2 ** ((root + n - 21) / 12) * k * t) / (10 * k) for n in (0, third, 7) for k in (1, 2, 3))
+
+
+def test_keys_and_chords_of_triads(spark):
+    for root in range(12):
+        for third, mode, suffix in ((4, "major", ""), (3, "minor", "m")):
+            x = triad(root, third, 2)
+            name = f"{harmony.KEY_ROOTS[root]} {mode}"
+            assert harmony.key_of(x, 8000) == next(k for k in fn.KEYS if k[0] == name)
+            assert harmony.chords_in(x, 8000) == [(0.0, harmony.CHORD_ROOTS[root] + suffix)]
+    cadence = np.concatenate([triad(r, t, 2) for r, t in ((0, 4), (5, 4), (7, 4), (9, 3), (5, 4), (7, 4), (0, 4))])
+    assert harmony.key_of(cadence, 8000)[0] == "C major"
+    found = harmony.chords_in(np.concatenate([triad(0, 4, 3), triad(9, 3, 3), np.zeros(24_000), triad(5, 4, 3)]), 8000)
+    assert [c for _, c in found] == ["C", "Am", "N", "F"] and all(abs(t - want) < 0.6 for (t, _), want in zip(found, (0, 3, 6, 9), strict=True))
+    assert harmony.key_of(np.zeros(8000), 8000) == ("silence", "", "") and harmony.chords_in(np.zeros(8000), 8000) == [(0.0, "N")]
+    rows = spark.createDataFrame([(1, None, 8000), (2, [0.0] * 100, None), (3, [], 8000), (4, triad(2, 3, 1).tolist(), 8000)], "id int, m array<double>, r int")
+    got = {r["id"]: (r["k"]["key"], [c["chord"] for c in r["c"]]) for r in rows.select("id", harmony.detected_key("m", "r").alias("k"), harmony.detected_chords("m", "r").alias("c")).collect()}
+    assert got == {1: (None, []), 2: (None, []), 3: (None, []), 4: ("D minor", ["Dm"])}
+
+
+def test_what_models_take_in(spark):
+    t = np.arange(44_100 * 15) / 44_100
+    x = 0.3 * np.sin(2 * np.pi * 1000 * t)
+    down = frontends.resampled(x, 44_100, 16_000)
+    assert len(down) == 16_000 * 15 and np.abs(down - 0.3 * np.sin(2 * np.pi * 1000 * np.arange(len(down)) / 16_000))[500:-500].max() < 1e-3
+    patches = frontends.effnet_patches(x, 44_100)
+    n = len(down) // 256 + 1
+    assert patches.shape == (1 + (n - 128) // 62, 128, 96) and len(frontends.effnet_patches(x[: 44_100 * 2], 44_100)) == 0
+    segments = frontends.dclap_segments(x, 44_100)
+    assert segments.shape == (3, 128, 1001) and np.abs(segments[1] - segments[2]).max() < 1e-3
+    hz = np.fft.rfftfreq(2048, 1 / 48_000)
+    wanted = (signal.mel_filters(48_000, 2048, 128, 14_000.0) @ (np.abs(hz - 1000) < 12)).argmax()
+    assert abs(int(segments[0].mean(axis=1).argmax()) - wanted) <= 1
+    assert [c.shape for c in frontends.gate_chunks(x, 44_100)] == [(64, 1000), (64, 500)]
+    assert [c.shape for c in frontends.gate_chunks(x[: int(44_100 * 10.5)], 44_100)] == [(64, 1000)]
+    windows = frontends.stem_windows(np.concatenate([down[:16_000], np.zeros(16_000), down[:9_000]]), 16_000)
+    assert windows.shape == (2, 16_000) and abs(signal.loudness(windows[0], windows[0], 16_000)[0] - 10 * math.log10(2) + 12) < 0.01 and not windows[1].any()
+    gain = one(spark, models.gain_to_loudness(F.lit(-20.0)))["c0"]
+    assert abs(20 * math.log10(gain) - (8 + 10 * math.log10(2))) < 1e-9
+    rows = spark.createDataFrame([(None, 16_000), ([0.0] * 16_000, None), ([0.1] * 16_000, 16_000)], "m array<double>, r int")
+    assert [[len(c) for c in r["x"]] for r in rows.select(frontends.model_inputs("stem_instrument")("m", "r").alias("x")).collect()] == [[], [], [16_000]]
+
+
 def test_long_series_stay_cheap(spark):
     """8,000 beats of one file and 30,000 rows of one key take seconds: nothing is quadratic."""
     import time

@@ -61,8 +61,8 @@ def gate(chunk_scores: DataFrame, music: str = "Music") -> DataFrame:
 
 
 def gain_to_loudness(lufs: Column, target: float = -12.0, mono: bool = True) -> Column:
-    """Linear gain that brings a loudness to the target; one channel played on two counts 3.01 dB more."""
-    return F.pow(F.lit(10.0), (target - lufs - (10 * math.log10(2) if mono else 0.0)) / 20)
+    """Linear gain that brings a measured loudness to the target. One channel that was measured as two reads 3.01 dB too loud, which is taken off first."""
+    return F.pow(F.lit(10.0), (target - (lufs - (10 * math.log10(2) if mono else 0.0))) / 20)
 
 
 def sanitized(document: Column) -> Column:

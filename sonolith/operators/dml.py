@@ -161,21 +161,29 @@ def set_setting(settings: DataFrame, key: str, value: str | None) -> DataFrame:
     return rest.unionByName(settings.sparkSession.createDataFrame([(key, value)], "key string, value string"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def same_name(column: str, name: str) -> Column:
+    """Equality without regard to ASCII case; other letters must be the same."""
+    return F.translate(F.col(column), UPPER, LOWER) == name.translate(str.maketrans(UPPER, LOWER))
+
+
 def rename_nocase(groups: DataFrame, old: str, new: str) -> DataFrame:
     """Renames a group found without regard to ASCII case."""
-    return groups.withColumn("name", F.when(F.lower("name") == old.lower(), new).otherwise(F.col("name")))
+    return groups.withColumn("name", F.when(same_name("name", old), new).otherwise(F.col("name")))
 
 
 def create_group(groups: DataFrame, name: str, added_at: int) -> DataFrame:
     """Adds a group with the next id, unless one of that name is there (without regard to ASCII case)."""
-    if not groups.where(F.lower("name") == name.lower()).isEmpty():
+    if not groups.where(same_name("name", name)).isEmpty():
         return groups
     top = groups.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("top")).first()["top"]
     return groups.unionByName(groups.sparkSession.createDataFrame([(top + 1, name, added_at)], "group_id long, name string, added_at long"))
 
 
 def find_group(groups: DataFrame, name: str) -> DataFrame:
-    return groups.where(F.lower("name") == name.lower())
+    return groups.where(same_name("name", name))
 
 
 def add_members(members: DataFrame, new: DataFrame) -> DataFrame:

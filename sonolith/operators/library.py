@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonolith.functions.scalars import fade_gain, round_half_away
+from sonolith.functions.scalars import delivery_name, fade_gain, round_half_away, version_from_name
 from sonolith.operators.dml import numbered_rows
 from sonolith.operators.intervals import range_join
 from sonolith.operators.predicates import basename, parent_dir
@@ -81,6 +81,40 @@ def first_segments(files: DataFrame, segments: DataFrame) -> DataFrame:
     return files.join(first, F.col("id") == F.col("file_id"), "left").select("id", "path", F.col("_s.start").alias("edit_start"), F.col("_s.end").alias("edit_end"))
 
 
+#: Folders of a project that are no cue.
+NO_CUES = ["takes", "discarded", "export"]
+
+
+def cue_export(takes: DataFrame, files: DataFrame, segments: DataFrame, project: Column) -> DataFrame:
+    """takes(cue, path, path_nfc), files(id, path_nfc, bpm, key) as captions give them, segments(id, file_id, start, end, human) -> cue, path, folder, name and the edit
+    (start, end, fade_in, fade_out, gain_db) of each WAV to render. A file's first segment is its edit; without one, or without a catalog row, all of it is
+    taken as it is. Takes that share a name in a folder keep it, so the later one replaces the other."""
+    number = lambda k: F.coalesce(F.get_json_object("human", f"$.{k}").try_cast("double"), F.lit(0.0)).alias(k)
+    edit = F.struct("start", "end", "id", number("fade_in"), number("fade_out"), number("gain_db"))
+    first = segments.where("file_id is not null").groupBy(F.col("file_id").alias("_of")).agg(F.min_by(edit, F.struct("start", "end", "id")).alias("_e"))
+    known = files.select(F.col("id").alias("_id"), F.col("path_nfc").alias("_path"), F.col("bpm").alias("_bpm"), F.col("key").alias("_key"))
+    wavs = takes.where(~F.col("cue").isin(NO_CUES) & F.lower("path").endswith(".wav")).select("cue", "path", "path_nfc")
+    both = wavs.join(known, F.col("path_nfc") == F.col("_path"), "left").join(first, F.col("_id") == F.col("_of"), "left")
+    name = delivery_name(project, F.col("cue"), F.col("_bpm"), F.col("_key"), version_from_name(basename(F.col("path"))))
+    part = lambda k: F.coalesce(F.col(f"_e.{k}"), F.lit(0.0)).alias(k)
+    return both.select("cue", "path", F.concat(F.lit("export/"), "cue").alias("folder"), name.alias("name"), *[part(k) for k in ("start", "end", "fade_in", "fade_out", "gain_db")])
+
+
+def export_summary(results: DataFrame) -> DataFrame:
+    """results(cue, path, ok, message) -> n_files, n_cues, n_failed, message: what a project's export says, with its first problem in order of cue and file."""
+    order = F.struct(F.lower("cue"), "cue", "path")
+    problem = F.concat(basename(F.col("path")), F.lit(": "), F.coalesce("message", F.lit("")))
+    done = results.agg(
+        F.count_if("ok").alias("n_files"),
+        F.count_distinct(F.when(F.col("ok"), F.col("cue"))).alias("n_cues"),
+        F.count_if(~F.col("ok")).alias("n_failed"),
+        F.min_by(F.when(~F.col("ok"), problem), F.when(~F.col("ok"), order)).alias("_first"),
+    )
+    many = lambda n, word: F.concat(F.col(n).cast("string"), F.when(F.col(n) == 1, f" {word}").otherwise(f" {word}s"))
+    failed = F.when(F.col("n_failed") > 0, F.concat(F.lit("  --  "), F.col("n_failed").cast("string"), F.lit(" failed: "), "_first")).otherwise("")
+    return done.select("n_files", "n_cues", "n_failed", F.concat(many("n_files", "file"), F.lit(" exported across "), many("n_cues", "cue"), failed).alias("message"))
+
+
 def next_version(takes: DataFrame, cue: str) -> DataFrame:
     """Version and status of a cue's next take: 1 is chosen, others are alternatives."""
     top = takes.where(F.col("cue") == cue).agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version"))

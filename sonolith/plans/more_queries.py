@@ -687,6 +687,32 @@ def sample_descriptors(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", signal.descriptors("v", F.lit(2000)).alias("d")).select("id", "d.*")
 
 
+def _takes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order is a take of its customer's cue; those of every eleventh customer lie in the folder of takes."""
+    cue = "case when o_custkey % 11 = 0 then 'takes' else concat('Cue ', o_custkey % 7) end"
+    return _named(table(spark, sf, "orders"), cue=cue, path="concat('/lib/take_', o_orderkey, '_v', o_orderkey % 4, '.wav')", path_nfc="concat('/lib/take_', o_orderkey, '_v', o_orderkey % 4, '.wav')")
+
+
+@query("""select 'Cue ' || (o_custkey % 7) as cue, 'export/Cue ' || (o_custkey % 7) as folder, '/lib/take_' || o_orderkey || '_v' || (o_orderkey % 4) || '.wav' as path,
+    'demoreel_cue' || (o_custkey % 7) || case when o_orderkey % 3 <> 0 then '_' || (60 + o_orderkey % 90) || 'bpm_Dmin' else '' end || case when o_orderkey % 4 > 0 then '_v' || (o_orderkey % 4) else '' end || '.wav' as name,
+    case when e.l_orderkey is not null and o_orderkey % 3 <> 0 then e.a else 0e0 end as "start", case when e.l_orderkey is not null and o_orderkey % 3 <> 0 then e.a + 1e0 else 0e0 end as "end",
+    0e0 as fade_in, 0e0 as fade_out, case when e.l_orderkey is not null and o_orderkey % 3 <> 0 then -3e0 else 0e0 end as gain_db
+    from orders left join (select l_orderkey, min(l_linenumber) * 1e0 as a from lineitem group by 1) as e on e.l_orderkey = o_orderkey where o_custkey % 11 <> 0""")
+def cue_exports(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").where("o_orderkey % 3 != 0")
+    known = _named(rows, id="o_orderkey", path_nfc="concat('/lib/take_', o_orderkey, '_v', o_orderkey % 4, '.wav')", bpm="cast(60 + o_orderkey % 90 as double)", key="'D minor'")
+    edits = _named(table(spark, sf, "lineitem"), id="l_linenumber", file_id="l_orderkey", start="cast(l_linenumber as double)", end="cast(l_linenumber + 1 as double)", human="""'{"gain_db": -3}'""")
+    return library.cue_export(_takes(spark, sf), known, edits, F.lit("Demo Reel"))
+
+
+@query("""select n_files, n_cues, n_failed, n_files || ' files exported across ' || n_cues || ' cues  --  ' || n_failed || ' failed: ' || first || ': unreadable' as message from
+    (select count(*) filter (o_orderkey % 5 <> 0) as n_files, count(distinct o_custkey % 7) filter (o_orderkey % 5 <> 0) as n_cues, count(*) filter (o_orderkey % 5 = 0) as n_failed,
+    arg_min('take_' || o_orderkey || '_v' || (o_orderkey % 4) || '.wav', 'cue ' || (o_custkey % 7) || '|' || o_orderkey || '_') filter (o_orderkey % 5 = 0) as first from orders where o_custkey % 11 <> 0) as x""")
+def cue_export_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _takes(spark, sf).where("cue != 'takes'").withColumn("n", F.regexp_extract("path", r"take_(\d+)", 1).cast("long"))
+    return library.export_summary(rows.select("cue", "path", (F.col("n") % 5 != 0).alias("ok"), F.lit("unreadable").alias("message")))
+
+
 _TRIADS = """select cast(s_suppkey as bigint) as id, cast(s_suppkey % 12 as int) as root, s_suppkey % 24 >= 12 as minor from supplier"""
 
 

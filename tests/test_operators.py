@@ -538,6 +538,26 @@ def test_loudness_and_further_descriptors():
     assert signal.describe(np.zeros(5000), rate)["integrated_lufs"] is None
 
 
+def test_names_are_equal_without_ascii_case_only(spark):
+    rows = spark.createDataFrame([(1, "Ärger", 0), (2, "Beats", 0)], "group_id long, name string, added_at long")
+    names = lambda df: sorted(r["name"] for r in df.collect())
+    assert names(dml.find_group(rows, "ÄRGER")) == ["Ärger"] and names(dml.find_group(rows, "ärger")) == []
+    assert names(dml.rename_nocase(rows, "bEATS", "New")) == ["New", "Ärger"]
+    assert names(dml.create_group(rows, "beats", 1)) == ["Beats", "Ärger"] and names(dml.create_group(rows, "ärger", 1)) == ["Beats", "Ärger", "ärger"]
+
+
+def test_export_of_a_project(spark):
+    takes = spark.createDataFrame([("Main", "/p/Main/a_v2.wav"), ("Main", "/p/Main/b.wav"), ("Main", "/p/Main/c.txt"), ("export", "/p/export/x.wav"), (None, "/p/y.wav")], "cue string, path string").withColumn("path_nfc", F.col("path"))
+    known = spark.createDataFrame([(1, "/p/Main/a_v2.wav", 120.4, "A minor")], "id long, path_nfc string, bpm double, key string")
+    edits = spark.createDataFrame([(8, 1, 2.0, 4.0, '{"fade_in": 0.5}'), (9, 1, 1.0, 3.0, '{"fade_out": 0.25, "gain_db": null}'), (7, None, 0.0, 1.0, "{}")], "id long, file_id long, start double, end double, human string")
+    got = {r["path"]: tuple(r)[2:] for r in library.cue_export(takes, known, edits, F.lit("My Film")).collect()}
+    assert got == {"/p/Main/a_v2.wav": ("export/Main", "myfilm_main_120bpm_Amin_v2.wav", 1.0, 3.0, 0.0, 0.25, 0.0), "/p/Main/b.wav": ("export/Main", "myfilm_main.wav", 0.0, 0.0, 0.0, 0.0, 0.0)}
+    results = spark.createDataFrame([("Main", "/p/Main/a_v2.wav", True, "done"), ("b", "/p/b/z.wav", False, "empty"), ("A", "/p/A/q.wav", False, None)], "cue string, path string, ok boolean, message string")
+    assert tuple(library.export_summary(results).first()) == (1, 1, 2, "1 file exported across 1 cue  --  2 failed: q.wav: ")
+    assert tuple(library.export_summary(results.where("ok")).first()) == (1, 1, 0, "1 file exported across 1 cue")
+    assert tuple(library.export_summary(results.where("false")).first()) == (0, 0, 0, "0 files exported across 0 cues")
+
+
 def triad(root, third, seconds, rate=8000):
     t = np.arange(int(seconds * rate)) / rate
     return sum(np.sin(2 * np.pi * 440 * 2 ** ((root + n - 21) / 12) * k * t) / (10 * k) for n in (0, third, 7) for k in (1, 2, 3))

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonolith.operators import aggregates, captions, catalog, dml, frontends, harmony, intervals, library, models, predicates, rhythm, signal, topk
 from sonolith.plans import views
@@ -716,13 +720,22 @@ def cue_export_summary(spark: SparkSession, sf: str) -> DataFrame:
 _TRIADS = """select cast(s_suppkey as bigint) as id, cast(s_suppkey % 12 as int) as root, s_suppkey % 24 >= 12 as minor from supplier"""
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _triad_waves(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """A second of three notes with two overtones at 4 kHz, a few rows at a time."""
+    at = np.arange(4000)
+    for roots, thirds in batches:
+        for a in range(0, len(roots), 64):
+            notes = [[440 * 2.0 ** ((r + n - 21) / 12) for n in (0, t, 7)] for r, t in zip(roots[a : a + 64], thirds[a : a + 64], strict=True)]
+            yield pd.Series([sum(np.sin(2 * math.pi * k * f * at / 4000) / (10 * k) for f in hz for k in (1, 2, 3)) for hz in notes])
+
+
 def _triads(spark: SparkSession, sf: str) -> DataFrame:
-    """A second of a triad for each supplier: three notes with two overtones at 4 kHz."""
+    """A second of a triad for each supplier."""
     rows = _named(table(spark, sf, "supplier"), id="s_suppkey", root="cast(s_suppkey % 12 as int)", third="case when s_suppkey % 24 >= 12 then 3 else 4 end")
-    hz = lambda note: 440 * F.pow(F.lit(2.0), (F.col("root") + note - 21) / 12)
-    parts = [(hz(note), k) for note in (F.lit(0), F.col("third"), F.lit(7)) for k in (1, 2, 3)]
-    wave = F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: sum((F.sin(2 * math.pi * k * f * i / 4000) / (10 * k) for f, k in parts), F.lit(0.0)))
-    return rows.select("id", wave.alias("mono"), F.lit(4000).alias("rate"))
+    # a row of three numbers becomes seconds of sound, so a small file is dealt out to all tasks
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    return rows.select("id", _triad_waves("root", "third").alias("mono"), F.lit(4000).alias("rate"))
 
 
 @query(
@@ -739,6 +752,7 @@ def detected_harmony(spark: SparkSession, sf: str) -> DataFrame:
 def model_input_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """What each model takes of a second of sound: no patch, one padded segment, one chunk, one window."""
     of = {"patches": "effnet_patch", "segments": "dclap", "chunks": "content_gate", "windows": "stem_instrument"}
-    found = _triads(spark, sf).select("id", *[F.transform(frontends.model_inputs(kind)("mono", "rate"), lambda x: F.size(x)).alias(n) for n, kind in of.items()])
+    made = _triads(spark, sf).select("id", frontends.all_model_inputs(of)("mono", "rate").alias("made"))
+    found = made.select("id", *[F.transform(f"made.{n}", lambda x: F.size(x)).alias(n) for n in of])
     size = lambda n: F.col(n)[0].cast("long")
     return found.select("id", *[F.size(n).cast("long").alias(n) for n in of], size("segments").alias("segment_size"), size("chunks").alias("chunk_size"), size("windows").alias("window_size"))

@@ -6,6 +6,7 @@ import math
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from sonolith.functions import scalars as fn
@@ -658,3 +659,24 @@ def test_voices_fade_and_stop_with_their_source(spark):
     got = {r["at"]: round(r["value"], 6) for r in library.mix_voices(voices, samples, "linear").collect()}
     assert got == {10: 0.0, 11: 0.5, 12: 1.5, 13: 1.5, 14: 0.5, 15: 0.5}
     assert library.mix_voices(voices.withColumn("solo", F.col("id") == 2), samples).agg(F.sum("value")).first()[0] == 2.0
+
+
+def test_model_inputs_are_dealt_out(spark, monkeypatch):
+    """A small table of suppliers becomes sound in more than one task, a few recordings are handed over at a time, and silence costs no transform."""
+    from sonolith.plans import more_queries
+
+    parts = more_queries._triads(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
+    rng = np.random.default_rng(4)
+    sounds = [rng.normal(size=4000) * 0.1 for _ in range(20)] + [None]
+    rows = spark.createDataFrame([(i, None if m is None else m.tolist(), 4000) for i, m in enumerate(sounds)], "id int, m array<double>, r int").coalesce(1)
+    got = rows.select("id", frontends.all_model_inputs({"a": "dclap", "b": "stem_instrument"})("m", "r").alias("x")).select("id", "x.*")
+    want = rows.select("id", frontends.model_inputs("dclap")("m", "r").alias("a"), frontends.model_inputs("stem_instrument")("m", "r").alias("b"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    handed = list(frontends._few(iter([(pd.Series(sounds), pd.Series([4000] * 21))])))
+    assert sum(map(len, handed)) == 21 and max(map(len, handed)) < 10
+    seen = []
+    whole = frontends.powers
+    monkeypatch.setattr(frontends, "powers", lambda cut: seen.append(len(cut)) or whole(cut))
+    segment = frontends.dclap_segments(sounds[0], 4000)
+    assert segment.shape == (1, 128, 1001) and 100 <= sum(seen) < 110 and (segment[0, :, 200:] == -100).all()

@@ -563,9 +563,10 @@ def tempo_shifts(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select user_id, max(event_id) filter (where abs(value - 250) > 200) as last, round(max(abs(value)), 6) as peak from events group by 1""")
 def audible_ends(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
-    quiet = events.select("user_id", F.col("event_id").alias("i"), F.when(F.abs(F.col("value") - 250) > 200, F.col("value")).otherwise(0.0).alias("value"))
-    ends = library.audible_end(quiet, ["user_id"])
-    return ends.join(library.lane_peaks(events, ["user_id"]), "user_id").select("user_id", "last", r6("peak").alias("peak"))
+    # values more than 200 off 250 are heard, 0 among them
+    levels = events.select("user_id", F.col("event_id").alias("i"), F.when(F.abs(F.col("value") - 250) > 200, 1.0).otherwise(0.0).alias("value"))
+    ends, peaks = library.audible_end(levels, ["user_id"]), library.lane_peaks(events, ["user_id"]).withColumnRenamed("user_id", "_user")
+    return ends.join(peaks, F.col("user_id").eqNullSafe(F.col("_user"))).select("user_id", "last", r6("peak").alias("peak"))
 
 
 @query(

@@ -680,3 +680,12 @@ def test_model_inputs_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(frontends, "powers", lambda cut: seen.append(len(cut)) or whole(cut))
     segment = frontends.dclap_segments(sounds[0], 4000)
     assert segment.shape == (1, 128, 1001) and 100 <= sum(seen) < 110 and (segment[0, :, 200:] == -100).all()
+
+
+def test_audible_ends_hear_zero(spark, tmp_path):
+    """A value of 0 is 250 off 250, so the sample is heard; users without a number count as one."""
+    from sonolith.plans import more_queries
+
+    rows = [(1, 7, 480.0), (2, 7, 0.0), (3, 7, 250.0), (4, 8, 250.0), (5, None, 0.0), (6, None, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert {tuple(r) for r in more_queries.audible_ends(spark, str(tmp_path)).collect()} == {(7, 2, 480.0), (8, None, 250.0), (None, 5, 0.0)}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonolith.llm.common import with_defaults
-from sonolith.llm.textvec import _BYTE, Piece, pieces, stream
+from sonolith.llm.textvec import _BYTE, PIECE, Piece, pieces, stream
 
 SAMPLE, WINDOW_CHARS = 300, 3000
 MOST_LABELS = 500
@@ -143,14 +143,18 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
         return model
     of_label = {x: i for i, x in enumerate(labels)}
     rng = np.random.default_rng(seed)
-    word_rows: list[np.ndarray] = []
+    # a piece's different words have their rows once, one after the other; `entry` is each word's place among them
+    entries, table, counted = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     runs: list[tuple[int, int, int]] = []  # first word, words, label
-    words = 0
-    for piece in pieces(pa.array(texts, pa.large_string())):
+    words = different = 0
+    for piece in pieces(pa.array(texts, pa.large_string()), PIECE // 8):
         piece.words()
-        rows, of = features(piece, np.arange(len(piece.hash)))
-        order = np.argsort(of, kind="stable")
-        word_rows += np.split(rows[order], np.cumsum(np.bincount(of, minlength=len(piece.hash)))[:-1])
+        _, pick, inverse = np.unique(piece.hash, return_index=True, return_inverse=True)
+        rows, of = features(piece, pick)
+        table.append(rows[np.argsort(of, kind="stable")].astype(np.int32))
+        counted.append(np.bincount(of, minlength=len(pick)))
+        entries.append((inverse + different).astype(np.int32))
+        different += len(pick)
         for i in range(piece.n):
             a, b = int(piece.first_word[i]), int(piece.first_word[i + 1])
             while a < b:
@@ -158,6 +162,9 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
                 runs.append((words + a, n, of_label[langs[piece.first + i]]))
                 a += n
         words += len(piece.hash)
+    entry, row, n_rows = np.concatenate(entries), np.concatenate(table), np.concatenate(counted)
+    first_row = np.cumsum(n_rows) - n_rows
+    del entries, table, counted
     weight_sum, transition_sum = np.full_like(model.weights, 1e-8), np.full_like(model.transitions, 1e-8)
     for _ in range(EPOCHS):
         order = rng.permutation(len(runs))
@@ -171,9 +178,10 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
         for at in range(0, len(chain), BATCH):
             ids, want = chain[at : at + BATCH], gold[at : at + BATCH]
             many = len(ids)
-            parts = [word_rows[i] for i in ids.ravel()]
-            rows = np.concatenate(parts)
-            of = np.repeat(np.arange(ids.size), [len(x) for x in parts])
+            own = entry[ids.ravel()]
+            count = n_rows[own]
+            of = np.repeat(np.arange(ids.size), count)
+            rows = row[np.arange(len(of)) + np.repeat(first_row[own] - (np.cumsum(count) - count), count)]
             scores = np.stack([np.bincount(of, model.weights[rows, j], minlength=ids.size) for j in range(size)], axis=1).reshape(many, SEQUENCE, size)
             p = np.exp(scores - scores.max(axis=2, keepdims=True))
             move = np.exp(model.transitions)

@@ -4,13 +4,15 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from sonolith.llm import classlm, decontaminate, fingerprints, langid, licenses, linededup, mixing, neardup, suffixes, tokens
+from sonolith.llm import classlm, decontaminate, fingerprints, langid, licenses, linededup, mixing, neardup, suffixes, textvec, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -457,6 +459,23 @@ def test_language_sample_is_bounded(spark):
     assert seen[0] <= 40
 
 
+def test_language_training_holds_different_words_once():
+    rng = random.Random(4)
+    of = {x: [x + "".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(500)] for x in ("xe", "yf")}
+    texts = [(x, " ".join(rng.choices(of[x], k=300))) for x in of for _ in range(200)]  # 120,000 words, 1,000 different ones
+    langid.train(["a"], ["xe"])
+    textvec.powers(1)
+    tracemalloc.start()
+    try:
+        model = langid.train([t for _, t in texts], [x for x, _ in texts])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64e6, peak
+    piece = next(textvec.pieces(pa.array([" ".join(of["xe"]), " ".join(of["yf"])])))
+    assert langid.decide(model, piece, False)[0] == ["xe", "yf"]
+
+
 def test_chain_by_blocks_is_exact():
     rng = np.random.default_rng(0)
     model = langid.Model(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
